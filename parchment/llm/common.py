@@ -18,20 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder named in spark.checkpoint.dir, so that a lost executor costs no recomputation of its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is not set (tests, a single machine)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = _own_dir[0]
+    return folder
+
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that a lost executor costs no recomputation of its lineage."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if not shared:
-            if not _own_dir:
-                _own_dir.append(tempfile.mkdtemp(prefix="checkpoints-"))
-            shared = _own_dir[0]
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -53,3 +54,8 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most ``rows`` rows: whole texts may be long, and a batch must fit a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def once(udf):
+    """``udf`` so marked that a filter on its outcome doesn't make it run a second time."""
+    return udf.asNondeterministic()
