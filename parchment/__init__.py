@@ -1 +1 @@
-"""Document-capture and table processing on Spark DataFrames."""
+"""Document capture on Spark: page geometry, filters, capture quality, text boxes and lines, sessions, exports."""
