@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsnum import clamp, round_half_up
+from .jsnum import bind, clamp, round_half_up
 
 POINT = "struct<x:double,y:double>"
 A4_RATIO = 1.4142
@@ -34,9 +34,11 @@ def _by(field: str):
 
 def sort_corners(q: Column) -> Column:
     """Four points as top left, top right, bottom right, bottom left; any other number of points as it is. Ties keep their order."""
-    by_x = F.array_sort(q, _by("x"))
-    left, right = (F.array_sort(F.slice(by_x, k, 2), _by("y")) for k in (1, 3))
-    return F.when(F.size(q) == 4, F.array(left[0], right[0], right[1], left[1])).otherwise(q)
+    def corners(by_x: Column) -> Column:
+        halves = F.array(*[F.array_sort(F.slice(by_x, k, 2), _by("y")) for k in (1, 3)])
+        return bind(halves, lambda h: F.array(h[0][0], h[1][0], h[1][1], h[0][1]))
+
+    return bind(q, lambda p: F.when(F.size(p) == 4, bind(F.array_sort(p, _by("x")), corners)).otherwise(p))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -181,7 +183,7 @@ def unclipped(w: Column, h: Column, ratio: float = 1.8) -> tuple[Column, Column]
 def box_to_original(q: Column, fx: Column, fy: Column, w: Column, h: Column, least: float = 4.0) -> Column:
     """A text box in the pixels of the page, kept within it; null if its top or left edge is shorter than ``least``."""
     moved = F.transform(q, lambda p: point(F.least(F.greatest(F.lit(0.0), p["x"] * fx), w.cast("double")), F.least(F.greatest(F.lit(0.0), p["y"] * fy), h.cast("double"))))
-    return F.when((distance(moved[1], moved[0]) >= least) & (distance(moved[3], moved[0]) >= least), moved)
+    return bind(moved, lambda m: F.when((distance(m[1], m[0]) >= least) & (distance(m[3], m[0]) >= least), m))
 
 
 def mean_y(q: Column) -> Column:

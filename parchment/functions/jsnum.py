@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 _SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round_half_up(c: Column) -> Column:
     """To the nearest whole number, ties towards plus infinity: -2.5 gives -2."""
     return F.when(c >= 0, F.round(c)).otherwise(F.floor(c + 0.5).cast("double"))

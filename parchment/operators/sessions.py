@@ -68,7 +68,7 @@ def fold_sessions(events: DataFrame) -> DataFrame:
         key, state, done = None, None, []
 
         def row() -> tuple:
-            return (key, state.step, state.pages, state.modes, list(state.ocr.items()), state.export_mode, state.current_mode, state.has_image, state.is_warped, state.ocr_error)
+            return (key, state.step, state.pages, state.modes, dict(state.ocr), state.export_mode, state.current_mode, state.has_image, state.is_warped, state.ocr_error)
 
         columns = ["session", "step", "pages", "modes", "ocr", "export_mode", "current_mode", "has_image", "is_warped", "ocr_error"]
         for pdf in batches:

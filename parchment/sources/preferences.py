@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENABLE_OCR = "docscan_enable_ocr"
+ENABLE_OCR = "enable_ocr"
 
 
 def load_json(value: Column, default: str) -> Column:
