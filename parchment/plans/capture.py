@@ -74,12 +74,12 @@ scan AS (SELECT DISTINCT session, 0::BIGINT AS seq, 0.0::DOUBLE AS now, NULL::DO
   UNION ALL {_STEP})"""
 
 
-@query(f"{_FOLD} SELECT session, seq, round(corners[1], 6) AS x0, round(corners[2], 6) AS y0, round(corners[5], 6) AS x2, round(corners[6], 6) AS y2, raw AS raw_level, stable AS level, told AS reasons, published, round(peak, 6) AS peak, coalesce(-list_max(ring).s, -1) AS best_seq, asleep FROM scan WHERE seq > 0")
+@query(f"{_FOLD} SELECT session, seq, round(corners[1], 6) AS x0, round(corners[2], 6) AS y0, round(corners[5], 6) AS x2, round(corners[6], 6) AS y2, raw AS raw_level, stable AS level, told AS reasons, published, round(sqrt(peak), 6) AS root_peak, coalesce(-list_max(ring).s, -1) AS best_seq, asleep FROM scan WHERE seq > 0")
 def detected_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steady corners and level of each frame in its session, and the best recent frame."""
+    """Steady corners and level of each frame in its session, and the best recent frame. The root of the peak has no decimal ties to round."""
     d = detect_frames(frames(spark, sf_dir))
     at = lambda i, c: F.round(F.get("corners", F.lit(i))[c], 6).alias(f"{c}{i}")
-    return d.select("session", "seq", at(0, "x"), at(0, "y"), at(2, "x"), at(2, "y"), "raw_level", "level", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "published", F.round("peak", 6).alias("peak"), F.coalesce("best_seq", F.lit(-1)).alias("best_seq"), "asleep")
+    return d.select("session", "seq", at(0, "x"), at(0, "y"), at(2, "x"), at(2, "y"), "raw_level", "level", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "published", F.round(F.sqrt("peak"), 6).alias("root_peak"), F.coalesce("best_seq", F.lit(-1)).alias("best_seq"), "asleep")
 
 
 @query(f"{_FOLD}, ends AS (SELECT session, arg_max(seq, seq) AS last_seq, arg_max_null(-list_max(ring).s, seq) AS best FROM scan WHERE seq > 0 GROUP BY session) SELECT session, coalesce(best, last_seq) AS seq, CASE WHEN best IS NULL THEN 'current' ELSE 'best' END AS source FROM ends")
