@@ -17,14 +17,25 @@ from .components import connected_components
 BITS = 64
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
+def _mixed(h: np.ndarray, view: int) -> np.ndarray:
+    """Another hash for each hash; view 0 keeps it."""
+    if view:
+        h = h + np.uint64(view * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def fingerprints(text: str | None, width: int = 4, views: int = 1) -> list[int]:
     """The 64 majority bits of the XXH64 hashes (seed 42) of all ``width``-word shingles, as a signed number.
 
-    A-Z are lower-cased, nothing else. Texts of fewer words are one shingle; null or no word: 0.
+    Further ``views`` are fingerprints of other hashes of the same shingles. A-Z are lower-cased, nothing
+    else. Texts of fewer words are one shingle; null or no word: 0.
     """
     words = words_of(text)
     if not words:
-        return 0
+        return [0] * views
     words = [w.lower() for w in words]
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -32,10 +43,17 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     width = min(width, len(words))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(line[s:e], 42) for s, e in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64)
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        votes += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0])
+    out = []
+    for view in range(views):
+        votes = np.zeros(BITS, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            votes += np.unpackbits(_mixed(h[at : at + (1 << 16)], view).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    return fingerprints(text, width)[0]
 
 
 def _fingerprints(texts: pd.Series) -> pd.Series:
@@ -69,11 +87,11 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def near_links(fingerprints: DataFrame, distance: int = 4, blocks: int = 7, few: int = 32, chunk: int = 1024) -> DataFrame:
-    """Links ``a, b`` that connect whatever fingerprints differ in ``distance`` bits or fewer, directly or over others.
+def near_links(prints: DataFrame, distance: int = 4, blocks: int = 7, few: int = 32, chunk: int = 1024) -> DataFrame:
+    """Links ``a, b`` that connect whatever nodes have fingerprints of one view that differ in ``distance`` bits or fewer, directly or over others.
 
-    ``fingerprints`` has distinct long values ``fp``. Each is filed under every union of
-    ``blocks - distance`` blocks, so a close pair meets at least once. Files of up to ``few``
+    ``prints`` has long columns ``node`` and ``fp`` and ``view``, distinct. Each fingerprint is filed under every
+    union of ``blocks - distance`` blocks, so a close pair meets at least once. Files of up to ``few``
     fingerprints are joined with themselves, and a pair counts in the first file that it shares. Larger
     files are dealt into chunks of about ``chunk``; every two chunks meet in a task of bounded size,
     which verifies them and gives the links of a spanning forest only. So no file gives all its
@@ -82,12 +100,13 @@ def near_links(fingerprints: DataFrame, distance: int = 4, blocks: int = 7, few:
     masks = block_masks(blocks)
     families = list(combinations(range(blocks), blocks - distance))
     fp = F.col("fp")
-    filed = fingerprints.select(fp, F.explode(F.array(*[F.struct(F.lit(k).alias("family"), fp.bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("block")) for k, c in enumerate(families)])).alias("f")).select("fp", "f.family", "f.block")
-    sizes = filed.groupBy("family", "block").agg(F.count("*").alias("n")).where("n > 1")
-    shared = filed.join(sizes, ["family", "block"])
-    few_a = shared.where(F.col("n") <= few).select("family", "block", F.col("fp").alias("a"))
-    few_b = shared.where(F.col("n") <= few).select("family", "block", F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    key = ["view", "family", "block"]
+    filed = prints.select("node", fp, "view", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), fp.bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("block")) for k, c in enumerate(families)])).alias("f")).select("node", "fp", "view", "f.family", "f.block")
+    sizes = filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    shared = filed.join(sizes, key)
+    few_a = shared.where(F.col("n") <= few).select(*key, F.col("node").alias("a"), F.col("fp").alias("fa"))
+    few_b = shared.where(F.col("n") <= few).select(*key, F.col("node").alias("b"), F.col("fp").alias("fb"))
+    differ = F.col("fa").bitwiseXOR(F.col("fb"))
 
     def first(c: tuple[int, ...]) -> Column:
         """No block before the last of ``c`` agrees but those of ``c``."""
@@ -98,19 +117,19 @@ def near_links(fingerprints: DataFrame, distance: int = 4, blocks: int = 7, few:
         return test
 
     one_of = F.element_at(F.array(*[first(c) for c in families]), F.col("family") + 1)
-    pairs = few_a.join(few_b, ["family", "block"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & one_of).select("a", "b")
+    pairs = few_a.join(few_b, key).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & one_of).select("a", "b")
 
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    many = shared.where(F.col("n") > few).select("family", "block", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    many = many.select("family", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    many = shared.where(F.col("n") > few).select(*key, "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    many = many.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf["fp"].to_numpy("int64")
-        x, y = _forest(values.view(np.uint64), distance)
-        return pd.DataFrame({"a": values[x], "b": values[y]})
+        nodes = pdf["node"].to_numpy("int64")
+        x, y = _forest(pdf["fp"].to_numpy("int64").view(np.uint64), distance)
+        return pd.DataFrame({"a": nodes[x], "b": nodes[y]})
 
-    return pairs.union(many.groupBy("family", "block", "i", "j").applyInPandas(verify, "a long, b long"))
+    return pairs.union(many.groupBy(*key, "i", "j").applyInPandas(verify, "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, blocks: int = 7) -> DataFrame:
@@ -123,26 +142,41 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     marked = checkpointed(docs.select(F.col(id_col).cast("long").alias("id"), F.pandas_udf(_fingerprints, T.LongType())(F.col(text_col)).alias("fp")))
-    groups = marked.groupBy("fp").agg(F.min("id").alias("low"))
-    linked = connected_components(near_links(groups.select("fp"), distance, blocks))
-    lows = groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = lows.groupBy("component").agg(F.min("low").alias("smallest"))
-    labels = lows.join(smallest, "component").select("fp", "smallest")
-    return marked.join(labels, "fp").select("id", "fp", F.col("smallest").alias("component"))
+    groups = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    linked = connected_components(near_links(groups.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("view")), distance, blocks))
+    lows = groups.join(linked.withColumnRenamed("node", "fp"), "fp")
+    # Written before it is joined: then a component of very many fingerprints can be split among tasks.
+    smallest = checkpointed(lows.groupBy("component").agg(F.min("low").alias("smallest")))
+    found = lows.join(smallest, "component").select("fp", "smallest")
+    labels = groups.join(found, "fp", "left").select("fp", F.coalesce("smallest", "low").alias("component"))
+    return marked.join(labels, "fp").select("id", "fp", "component")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: that with the smallest id. Repeated rows of that id keep one row.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, views: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id. Repeated rows of that id keep one row.
 
+    Documents are linked if the fingerprints of ``width``-word shingles differ in ``distance`` bits or
+    fewer in any of ``views`` views. One fingerprint misses many copies with a few changed words, as
+    its distance scatters by several bits; several views of short shingles find nearly all of them.
     Texts without a word share fingerprint 0 and form one group. Rows with a null id are kept as they
     are; an empty table gives an empty one.
     """
-    found = simhash_components(docs, id_col, text_col).where(F.col("id").isNotNull())
-    losers = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
+    small_batches(docs.sparkSession)
+
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprints(t, width, views) for t in texts], dtype="object")
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.pandas_udf(prints, "array<long>")(F.col(text_col)).alias("fps"))
+    marked = checkpointed(known)
+    groups = checkpointed(marked.groupBy("fps").agg(F.min("id").alias("low")))
+    viewed = groups.select(F.col("low").alias("node"), F.posexplode("fps").alias("view", "fp")).distinct()
+    linked = connected_components(near_links(viewed, distance, blocks))
+    labels = groups.join(linked, F.col("low") == F.col("node"), "left").select("fps", F.coalesce("component", "low").alias("component"))
+    losers = marked.join(labels, "fps").where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
     kept = docs.join(losers, docs[id_col] == F.col("_gone"), "left_anti")
     with_id = kept.where(F.col(id_col).isNotNull())
     return with_id.dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
