@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpointed, positive_hash, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: So many blocks, of some 150 bytes each, are sent to all tasks; with more, rows and blocks are joined by a shuffle.
+BROADCAST_BLOCKS = 100_000
 
 
 def target_sizes(sizes: Sequence[float], weights: Sequence[float], budget: float, most: float) -> list[float]:
@@ -99,6 +101,8 @@ def plan_mixture(docs: DataFrame, source_col: str, text_col: str, id_col: str, w
     ends = F.broadcast(spark.createDataFrame(ends, "_source string, _ends array<long>"))
     known = known.join(ends, "_source").select("_source", "_block", "source_size", "target", "_state", "_room", "_whole", F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), lambda i: F.size(F.filter("_ends", lambda e: e <= F.col("_first") + i))).alias("_to"))
 
+    # Few blocks come to the rows, so the texts needn't move for them.
+    known = F.broadcast(known) if sum(r["blocks"] for r in sums) <= BROADCAST_BLOCKS else known
     rows = sized.join(known, ["_source", "_block"])
     inner = rows.where(F.col("_state") != 2).withColumn("_taken", F.col("_state") == 1)
     # The blocks at the boundary: rows in turn while they fit, then among the rest those that still fit, and again.
@@ -129,8 +133,10 @@ def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "te
     columns = [c for c in planned.columns if c not in ("size", "source_size", "target", "draws", "mix_shard")]
     taken = planned.select(*columns, F.posexplode("draws").alias("_turn", "mix_shard"))
     local = F.xxhash64(F.col(id_col), F.col(text_col), "_turn", F.lit(how.get("seed", 5)))
-    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards * shards)
-    dealt = taken.withColumn("_order", local).repartition(parts, F.col("mix_shard"), F.pmod(F.col("_order"), F.lit(parts // shards)))
+    per = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    # Each part of a shard has a partition to itself; by a hash of the parts, some would share one.
+    part = F.col("mix_shard") * per + F.pmod(F.col("_order"), F.lit(per)).cast("int")
+    dealt = taken.withColumn("_order", local).repartitionById(shards * per, part)
     return dealt.sortWithinPartitions("mix_shard", "_order").select(*columns, "mix_shard")
 
 
