@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,9 +79,9 @@ def find_splitters(keyed: DataFrame, parts: int, total: int, first: list[_Bin],
     spark = keyed.sparkSession
     while todo:
         asks: dict[tuple[bool, int], list[_Bin]] = {}
+        # Where only one h is left, go on by k, in a new bin: the old one still says where its keys are.
+        todo = [replace(b, h=b.low[0], prefix=0, bits=0) if b.h is None and b.low[0] == b.high[0] else b for b in todo]
         for b in todo:
-            if b.h is None and b.low[0] == b.high[0]:  # one h: go on by k
-                b.h, b.prefix, b.bits = b.low[0], 0, 0
             asks.setdefault((b.h is None, b.bits), []).append(b)
         counts = None
         for (by_h, bits), own in asks.items():
