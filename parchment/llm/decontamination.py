@@ -14,8 +14,8 @@ FOUND = "array<struct<item_id:long,score:double,question_overlap:double,answer_o
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z), with punctuation as spaces."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PUNCTUATION).split()
+    """Words without regard to case, with punctuation as spaces."""
+    return (text or "").casefold().encode("utf-8", "surrogatepass").translate(_PUNCTUATION).split()
 
 
 def _shingles(ids: list[int], width: int) -> set[tuple[int, ...]]:
