@@ -87,7 +87,7 @@ def plan_mixture(docs: DataFrame, source_col: str, text_col: str, id_col: str, w
     permuted = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "_block", F.lit(seed)), "_block")
     known = blocks.join(quotas, "_source")
     known = known.withColumn("_upto", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
-    known = known.withColumn("_fits", F.col("_upto") <= F.col("_rest"))
+    known = known.withColumn("_fits", (F.col("_rest") > 0) & (F.col("_upto") <= F.col("_rest")))
     known = known.withColumn("_room", F.col("_rest") - F.coalesce(F.max(F.when(F.col("_fits"), F.col("_upto"))).over(Window.partitionBy("_source")), F.lit(0)))
     past = F.sum(F.when(~F.col("_fits"), 1)).over(permuted.rowsBetween(Window.unboundedPreceding, 0))
     known = known.withColumn("_state", F.when(F.col("_fits"), 1).when((F.col("_room") > 0) & (past <= edge_blocks), 2).otherwise(0))
