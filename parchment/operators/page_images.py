@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
+from ..functions.capture_quality import LIMITS, capture_quality
+
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
 CURVE = np.array([255 if i >= 220 else int((i / 220) ** 2.2 * 255.0) for i in range(256)], np.uint8)
 
 
 def as_array(image) -> np.ndarray:
-    shape = (image["height"], image["width"], image["channels"])
+    # A null image in a batch turns its neighbours' sizes into floats.
+    shape = tuple(int(image[k]) for k in ("height", "width", "channels"))
     return np.frombuffer(image["data"], np.uint8).reshape(shape)
 
 
@@ -229,3 +233,67 @@ def pack_gray(pixels: DataFrame, id_col: str = "image_id", value_col: str = "v")
     data = F.unhex(F.array_join(ordered, ""))
     packed = pixels.groupBy(id_col).agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), data.alias("data"))
     return packed.select(id_col, F.struct("height", "width", F.lit(1).alias("channels"), "data").cast(IMAGE).alias("image"))
+
+
+def color_share(page: np.ndarray) -> float:
+    """The share of pixels with a saturation above 12."""
+    rgb = page[..., :3].astype(np.float64)
+    top, low = rgb.max(axis=2), rgb.min(axis=2)
+    return float((to_u8(np.where(top > 0, (top - low) * 255.0 / np.maximum(top, 1), 0)) > 12).mean())
+
+
+def best_modes(images: DataFrame, id_col: str = "image_id", image_col: str = "image", corners_col: str = "corners", side: int = 150) -> DataFrame:
+    """id, color_ratio and mode: the page within the corners (in order), brought to 150 x 150, is a document unless over 0.5 % of it has colour.
+
+    The relational form for pixels that are rows already is operators.pixels.best_filter. Images
+    without four corners or without pixels are documents.
+    """
+
+    def run(image: pd.DataFrame, corners: pd.Series) -> pd.Series:
+        out = []
+        for row, pts in zip(image.to_dict("records"), corners, strict=True):
+            try:
+                quad = np.array([(p["x"], p["y"]) for p in pts], float)
+                out.append(color_share(warped(as_array(row), quad, side, side)) if len(quad) == 4 else 0.0)
+            except (ValueError, TypeError, KeyError, np.linalg.LinAlgError):
+                out.append(0.0)
+        return pd.Series(out, dtype="float64")
+
+    ratio = F.pandas_udf(run, "double")(F.col(image_col).cast(IMAGE), F.col(corners_col))
+    found = images.select(id_col, ratio.alias("color_ratio"))
+    return found.withColumn("mode", F.when(F.col("color_ratio") > 0.005, "color_enhanced").otherwise("document_enhanced"))
+
+
+def measured(pixels: np.ndarray) -> tuple[float, float, float]:
+    """Variance of the Laplacian, mean, and share of dark pixels of the gray image, like operators.pixels.capture_metrics."""
+    v = gray(pixels).astype(np.float64)
+    p = np.pad(v, ((1, 1), (0, 0)), mode="reflect" if v.shape[0] > 1 else "edge")
+    q = np.pad(v, ((0, 0), (1, 1)), mode="reflect" if v.shape[1] > 1 else "edge")
+    lap = p[:-2] + p[2:] + q[:, :-2] + q[:, 2:] - 4 * v
+    return float(lap.var()), float(v.mean()), float((v <= LIMITS.dark_pixel).mean())
+
+
+def assess_documents(images: DataFrame, peak_col: str | None = None, id_col: str = "image_id", image_col: str = "image", corners_col: str = "corners") -> DataFrame:
+    """id, focus, luma, dark_ratio, level, reasons of each image within its corners, or of the whole image where they give no region.
+
+    The region is a Catalyst expression; only cutting out and measuring is done in Python. Images that can't
+    be measured count as flat and half bright, as do missing ones.
+    """
+    w, h = F.col(f"{image_col}.width"), F.col(f"{image_col}.height")
+    roi = F.coalesce(g.document_roi(F.col(corners_col), w, h, 320), g.whole_frame_roi(w, h, 320))
+
+    def run(image: pd.DataFrame, rect: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row, r in zip(image.to_dict("records"), rect.to_dict("records"), strict=True):
+            try:
+                cut = as_array(row)[int(r["sy"]) : int(r["sy"] + r["sh"]), int(r["sx"]) : int(r["sx"] + r["sw"])]
+                out.append(measured(resized(cut, int(r["dw"]), int(r["dh"]))))
+            except (ValueError, TypeError, KeyError, IndexError):
+                out.append((0.0, 128.0, 0.0))
+        return pd.DataFrame(out, columns=["focus", "luma", "dark_ratio"])
+
+    metrics = F.pandas_udf(run, "focus double, luma double, dark_ratio double")(F.col(image_col).cast(IMAGE), roi)
+    peak = F.col(peak_col).cast("double") if peak_col else F.lit(0.0)
+    found = images.select(id_col, peak.alias("_peak"), metrics.alias("_m")).select(id_col, "_peak", "_m.*")
+    judged = found.withColumn("_q", capture_quality(F.col("focus"), F.col("luma"), F.col("dark_ratio"), F.col("_peak")))
+    return judged.select(id_col, "focus", "luma", "dark_ratio", "_q.level", "_q.reasons")

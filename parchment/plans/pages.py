@@ -103,3 +103,13 @@ def text_lines_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = text_boxes.in_reading_order(text_boxes.boxes_on_page(rects))
     w, h = g.edge_sizes(F.col("box"))
     return lines.select("image_id", "contour", "line_no", F.round("score", 6).alias("score"), F.round(w, 6).alias("width"), F.round(h, 6).alias("height"), text_lines.line_width(w, h).alias("line_w"))
+
+
+@query()
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image's best filter, and its sharpness, brightness and level within the corners of its first quad."""
+    q = quads(spark, sf_dir).where("q = 2").select(F.col("vec_id").alias("image_id"), g.sort_corners(g.to_pixels(F.col("pts"), F.lit(32), F.lit(24))).alias("corners"))
+    ready = _images(spark, sf_dir).join(q, "image_id")
+    best = page_images.best_modes(ready).select("image_id", F.round("color_ratio", 6).alias("color_ratio"), "mode")
+    level = page_images.assess_documents(ready)
+    return best.join(level, "image_id").select("image_id", "color_ratio", "mode", F.round("focus", 4).alias("focus"), F.round("luma", 4).alias("luma"), F.round("dark_ratio", 6).alias("dark_ratio"), "level", F.array_join("reasons", ",").alias("reasons"))

@@ -208,3 +208,24 @@ def test_pdf(spark):
     assert any(b"8.000 Tf 1 0 0 1 1.000 8.000 Tm (hi \\(there\\)) Tj" in s for s in streams)
     start = int(done[1].rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
     assert done[1][start : start + 4] == b"xref"
+
+
+def test_images_are_measured_within_their_corners(spark):
+    a = np.random.default_rng(8).integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    a[:, 30:] = 20
+    box = lambda x0, x1: [(x0, 0.0), (x1, 0.0), (x1, 40.0), (x0, 40.0)]
+    rows = [(1, image(a), box(0.0, 30.0)), (2, image(a), box(30.0, 60.0)), (3, image(a), None), (4, None, box(0.0, 30.0)), (5, image(a), box(0.0, 9.0))]
+    df = spark.createDataFrame(rows, f"image_id long, image {page_images.IMAGE}, corners array<struct<x:double,y:double>>")
+    got = {r.image_id: r for r in page_images.assess_documents(df).collect()}
+    assert got[1].level in ("good", "fair") and got[2].level == "poor" and got[2].reasons == ["dark", "blur"]
+    cut = page_images.measured(a[3:36, 2:27])
+    assert (got[1].focus, got[1].luma) == pytest.approx(cut[:2])
+    assert (got[4].focus, got[4].luma) == (0, 128) and got[3].focus == got[5].focus == pytest.approx(page_images.measured(a)[0])
+    modes = {r.image_id: r.mode for r in page_images.best_modes(df).collect()}
+    assert modes == {1: "color_enhanced", 2: "document_enhanced", 3: "document_enhanced", 4: "document_enhanced", 5: "color_enhanced"}
+
+
+def test_measures_are_those_of_the_pixel_form(spark):
+    a = np.random.default_rng(9).integers(0, 256, (5, 7)).astype(np.uint8)
+    m = pixels.capture_metrics(pixel_rows(spark, a)).first()
+    assert (m["focus"], m["luma"], m["dark_ratio"]) == pytest.approx(page_images.measured(a))
