@@ -74,11 +74,11 @@ scan AS (SELECT DISTINCT session, 0::BIGINT AS seq, 0.0::DOUBLE AS now, NULL::DO
   UNION ALL {_STEP})"""
 
 
-@query(f"{_FOLD} SELECT session, seq, round(corners[1] / 3, 6) AS x0_third, round(corners[2] / 3, 6) AS y0_third, round(corners[5] / 3, 6) AS x2_third, round(corners[6] / 3, 6) AS y2_third, raw AS raw_level, stable AS level, told AS reasons, published, round(sqrt(peak), 6) AS root_peak, coalesce(-list_max(ring).s, -1) AS best_seq, asleep FROM scan WHERE seq > 0")
+@query(f"{_FOLD} SELECT session, seq, round(sqrt(corners[1]), 6) AS root_x0, round(sqrt(corners[2]), 6) AS root_y0, round(sqrt(corners[5]), 6) AS root_x2, round(sqrt(corners[6]), 6) AS root_y2, raw AS raw_level, stable AS level, told AS reasons, published, round(sqrt(peak), 6) AS root_peak, coalesce(-list_max(ring).s, -1) AS best_seq, asleep FROM scan WHERE seq > 0")
 def detected_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steady corners and level of each frame in its session, and the best recent frame. Thirds and roots have no decimal ties to round."""
+    """Steady corners and level of each frame in its session, and the best recent frame. Numbers are given as roots, as those have no decimal ties to round."""
     d = detect_frames(frames(spark, sf_dir))
-    at = lambda i, c: F.round(F.get("corners", F.lit(i))[c] / 3, 6).alias(f"{c}{i}_third")
+    at = lambda i, c: F.round(F.sqrt(F.get("corners", F.lit(i))[c]), 6).alias(f"root_{c}{i}")
     return d.select("session", "seq", at(0, "x"), at(0, "y"), at(2, "x"), at(2, "y"), "raw_level", "level", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "published", F.round(F.sqrt("peak"), 6).alias("root_peak"), F.coalesce("best_seq", F.lit(-1)).alias("best_seq"), "asleep")
 
 
