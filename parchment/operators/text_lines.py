@@ -13,6 +13,8 @@ from ..functions import geometry as g
 from ..functions.jsnum import clamp, is_blank, round_half_up
 from .page_images import IMAGE, as_array, crop_line, resized
 
+#: A vocabulary of so many letters at most is sent to all tasks; a larger one is joined by a shuffle.
+BROADCAST_LETTERS = 100_000
 LINE_HEIGHT, LEAST_WIDTH, MOST_WIDTH = 48, 16, 1024
 WORD = "struct<text:string,confidence:double,bbox:struct<x0:double,y0:double,x1:double,y1:double>>"
 
@@ -71,6 +73,7 @@ def decode_rows(steps: DataFrame, letters: DataFrame, seq_col: str = "seq_id") -
     best = steps.groupBy(seq_col, "t").agg(F.max(F.struct(p.alias("p"), (-F.col("v")).alias("_v"))).alias("b"))
     best = best.select(seq_col, "t", F.col("b.p").alias("p"), F.when(F.col("b.p").isNull(), -1).otherwise(-F.col("b._v")).alias("index"))
     before = F.lag("index", 1, -2).over(Window.partitionBy(seq_col).orderBy("t"))
+    letters = F.broadcast(letters) if letters.count() <= BROADCAST_LETTERS else letters
     named = best.withColumn("_before", before).join(letters, "index", "left")
     spoken = (F.col("index") > 0) & F.col("letter").isNotNull() & (F.col("index") != F.col("_before"))
     said = F.array_sort(F.collect_list(F.when(spoken, F.struct("t", "letter", "p"))))
