@@ -1,4 +1,4 @@
-"""The reference's own cases, and the rules that browsers and Spark don't share."""
+"""Known cases of the rules, and the rules that browsers and Spark don't share."""
 
 import math
 
