@@ -19,13 +19,18 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def at(q: Column, i: int) -> Column:
+    """A point of a quad; null beyond its end."""
+    return F.get(q, F.lit(i))
+
+
 def quad(*points: tuple[Column, Column]) -> Column:
     return F.array(*[point(x, y) for x, y in points])
 
 
 def box_to_quad(box: Column) -> Column:
     """An array of [x, y] pairs as points."""
-    return F.transform(box, lambda p: point(p[0], p[1]))
+    return F.transform(box, lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
 
 
 def _by(field: str):
@@ -36,7 +41,7 @@ def sort_corners(q: Column) -> Column:
     """Four points as top left, top right, bottom right, bottom left; any other number of points as it is. Ties keep their order."""
     def corners(by_x: Column) -> Column:
         halves = F.array(*[F.array_sort(F.slice(by_x, k, 2), _by("y")) for k in (1, 3)])
-        return bind(halves, lambda h: F.array(h[0][0], h[1][0], h[1][1], h[0][1]))
+        return bind(halves, lambda h: F.array(*[at(at(h, side), i) for side, i in ((0, 0), (1, 0), (1, 1), (0, 1))]))
 
     return bind(q, lambda p: F.when(F.size(p) == 4, bind(F.array_sort(p, _by("x")), corners)).otherwise(p))
 
@@ -49,7 +54,7 @@ def quad_area(q: Column) -> Column:
     """Shoelace area."""
     total = F.lit(0.0)
     for i in range(4):
-        a, b = q[i], q[(i + 1) % 4]
+        a, b = at(q, i), at(q, (i + 1) % 4)
         total = total + (a["x"] * b["y"] - a["y"] * b["x"])
     return 0.5 * F.abs(total)
 
@@ -59,10 +64,10 @@ def is_valid_shape(q: Column, most_cos: float, most_ratio: float = 1.3) -> Colum
 
     Coinciding corners, and any number of points but four, are no valid shape.
     """
-    edge = [distance(q[i], q[(i + 1) % 4]) for i in range(4)]
+    edge = [distance(at(q, i), at(q, (i + 1) % 4)) for i in range(4)]
     good = F.lit(True)
     for i in range(4):
-        before, here, after = q[(i + 3) % 4], q[i], q[(i + 1) % 4]
+        before, here, after = at(q, (i + 3) % 4), at(q, i), at(q, (i + 1) % 4)
         dot = (before["x"] - here["x"]) * (after["x"] - here["x"]) + (before["y"] - here["y"]) * (after["y"] - here["y"])
         good = good & (F.abs(F.try_divide(dot, edge[(i + 3) % 4] * edge[i])) <= most_cos)
     for a, b in ((edge[0], edge[2]), (edge[3], edge[1])):
@@ -96,7 +101,8 @@ def clamp_corners(q: Column, w: Column, h: Column) -> Column:
 
 def edge_sizes(q: Column) -> tuple[Column, Column]:
     """The longer of the two horizontal, and of the two vertical edges; not rounded."""
-    return F.greatest(distance(q[0], q[1]), distance(q[3], q[2])), F.greatest(distance(q[0], q[3]), distance(q[1], q[2]))
+    a, b, c, d = (at(q, i) for i in range(4))
+    return F.greatest(distance(a, b), distance(d, c)), F.greatest(distance(a, d), distance(b, c))
 
 
 def size(w: Column, h: Column) -> Column:
@@ -183,11 +189,11 @@ def unclipped(w: Column, h: Column, ratio: float = 1.8) -> tuple[Column, Column]
 def box_to_original(q: Column, fx: Column, fy: Column, w: Column, h: Column, least: float = 4.0) -> Column:
     """A text box in the pixels of the page, kept within it; null if its top or left edge is shorter than ``least``."""
     moved = F.transform(q, lambda p: point(F.least(F.greatest(F.lit(0.0), p["x"] * fx), w.cast("double")), F.least(F.greatest(F.lit(0.0), p["y"] * fy), h.cast("double"))))
-    return bind(moved, lambda m: F.when((distance(m[1], m[0]) >= least) & (distance(m[3], m[0]) >= least), m))
+    return bind(moved, lambda m: F.when((distance(at(m, 1), at(m, 0)) >= least) & (distance(at(m, 3), at(m, 0)) >= least), m))
 
 
 def mean_y(q: Column) -> Column:
-    return (q[0]["y"] + q[1]["y"] + q[2]["y"] + q[3]["y"]) / 4
+    return (at(q, 0)["y"] + at(q, 1)["y"] + at(q, 2)["y"] + at(q, 3)["y"]) / 4
 
 
 def contained_size(natural_w: Column, natural_h: Column, box_w: Column, box_h: Column, zoom: Column) -> Column:

@@ -40,7 +40,8 @@ def detect_corners(outputs: DataFrame, quad_col: str = "pts", logit_col: str = "
     q, w, h = F.col(quad_col), F.col(w_col), F.col(h_col)
     found = outputs.withColumn("corners", detected(q, F.col(logit_col), w, h))
     strict = F.coalesce(g.is_valid_shape(F.col("corners"), *STRICT_SHAPE), F.lit(False))
-    return found.withColumns({"strict": strict, "page": with_fallback(F.col("corners"), w, h)})
+    page = F.when(F.col("strict"), F.col("corners")).otherwise(g.default_corners(w, h))
+    return found.withColumn("strict", strict).withColumn("page", page)
 
 
 def choose_outputs(names: Sequence[str]) -> tuple[str, str] | None:

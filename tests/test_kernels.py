@@ -229,3 +229,18 @@ def test_measures_are_those_of_the_pixel_form(spark):
     a = np.random.default_rng(9).integers(0, 256, (5, 7)).astype(np.uint8)
     m = pixels.capture_metrics(pixel_rows(spark, a)).first()
     assert (m["focus"], m["luma"], m["dark_ratio"]) == pytest.approx(page_images.measured(a))
+
+
+def test_fallback_corners(spark):
+    """A page that is only loosely one, and a missing one, give default corners."""
+    q = "array<struct<x:double,y:double>>"
+    loose = [(0.2, 0.2), (0.8, 0.2), (0.66, 0.8), (0.2, 0.8)]
+    good = [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]
+    rows = [(1, good, 2.0), (2, loose, 2.0), (3, good, -2.0), (4, None, 2.0), (5, good, None), (6, good[:3], 2.0)]
+    df = spark.createDataFrame(rows, f"k long, pts {q}, logit double").withColumns({"w": F.lit(640), "h": F.lit(480)})
+    got = {r.k: r for r in corners.detect_corners(df).collect()}
+    assert [got[k].strict for k in range(1, 7)] == [True, False, False, False, False, False]
+    assert got[2].corners is not None and got[3].corners is got[4].corners is got[5].corners is got[6].corners is None
+    assert got[1].page == got[1].corners and got[2].page == got[3].page == got[6].page != got[1].page
+    same = df.select("k", corners.with_fallback(corners.detected(F.col("pts"), F.col("logit"), F.col("w"), F.col("h")), F.col("w"), F.col("h")).alias("p")).collect()
+    assert {r.k: r.p for r in same} == {k: r.page for k, r in got.items()}
