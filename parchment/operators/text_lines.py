@@ -85,7 +85,7 @@ def decode_rows(steps: DataFrame, letters: DataFrame, seq_col: str = "seq_id") -
 
 def words_on_source(lines: DataFrame, fx: Column, fy: Column) -> DataFrame:
     """Adds word, in the pixels of the source, from the first and third corner of box; lines of spaces only go, text stays untrimmed."""
-    b = F.col("box")
+    b = [g.at(F.col("box"), i) for i in range(3)]
     bbox = F.struct((b[0]["x"] * fx).alias("x0"), (b[0]["y"] * fy).alias("y0"), (b[2]["x"] * fx).alias("x1"), (b[2]["y"] * fy).alias("y1"))
     return lines.where(~is_blank(F.col("text"))).withColumn("word", F.struct("text", "confidence", bbox.alias("bbox")).cast(WORD))
 
