@@ -60,12 +60,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def filled(units: DataFrame, size: str, order: list[Column | str]) -> DataFrame:
+    """``units`` with _got, how many of their _of pieces of ``size`` are taken, and with the _room that is left in their source.
+
+    In every round, the units that still fit are taken from the front until one doesn't; rounds go on until nothing fits.
+    """
+    each = F.col(size)
+    by_source = Window.partitionBy("_source").orderBy(*order)
+    so_far, whole = by_source.rowsBetween(Window.unboundedPreceding, 0), by_source.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fits = (F.col("_room") > 0) & (each <= F.col("_room")) & (F.col("_got") < F.col("_of"))
+    while True:
+        for _ in range(4):
+            words = F.when(fits, (F.col("_of") - F.col("_got")) * each).otherwise(0)
+            units = units.withColumn("_words", words).withColumn("_upto", F.sum("_words").over(so_far))
+            room = F.floor((F.col("_room") - F.col("_upto") + F.col("_words")) / F.greatest(each, F.lit(1)))
+            new = F.when(each == 0, F.col("_of") - F.col("_got")).otherwise(F.least(F.col("_of") - F.col("_got"), room))
+            units = units.withColumn("_new", F.when(fits & (F.col("_upto") - F.col("_words") <= F.col("_room")), new).otherwise(0))
+            units = units.withColumns({"_room": F.col("_room") - F.sum(F.col("_new") * each).over(whole), "_got": F.col("_got") + F.col("_new")}).drop("_words", "_upto", "_new")
+        units = checkpointed(units)
+        if units.where(fits).isEmpty():
+            return units
+
+
 def plan_mixture(docs: DataFrame, source_col: str, text_col: str, id_col: str, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 5, block_bits: int | None = None, edge_blocks: int = 16) -> DataFrame:
     """All columns of ``docs`` plus size, source_size, target and draws, an array of the shards that a row goes to.
 
     A source is cut into 2^block_bits blocks by a hash of its rows. It is taken as a whole as often as its
-    target allows; for the rest its blocks are taken in a permuted order while they fit, and from the
-    ``edge_blocks`` after them single rows that still fit. Only one row per source and its quotas come to the driver.
+    target allows; for the rest all its blocks are gone through in a permuted order and those that still fit
+    are taken, then single rows that still fit: from ``edge_blocks`` of the other blocks, then from twice as many, until
+    no row of the source fits. Only one row per source and its quotas come to the driver.
     """
     spark = docs.sparkSession
     bits = block_bits or min(16, max(10, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 4))
@@ -75,7 +98,7 @@ def plan_mixture(docs: DataFrame, source_col: str, text_col: str, id_col: str, w
     source = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source_col)))
     mark = positive_hash(F.col(id_col), F.col(text_col), seed=seed)
     sized = plain.withColumns({"size": word_count(F.col(text_col)), "_source": source, "_mark": mark, "_block": F.shiftright(mark, 62 - bits)})
-    blocks = checkpointed(sized.groupBy("_source", "_block").agg(F.sum("size").alias("words")))
+    blocks = checkpointed(sized.groupBy("_source", "_block").agg(F.sum("size").alias("words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")))
 
     sums = blocks.groupBy("_source").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).collect()
     sums = sorted(sums, key=lambda r: (r["_source"] == "-", r["_source"]))
@@ -84,13 +107,32 @@ def plan_mixture(docs: DataFrame, source_col: str, text_col: str, id_col: str, w
     whole = [int(t // s) if s else 0 for t, s in zip(targets, sizes, strict=True)]
     quotas = F.broadcast(spark.createDataFrame([(r["_source"], s, t, w, t - w * s) for r, s, t, w in zip(sums, sizes, targets, whole, strict=True)], "_source string, source_size long, target double, _whole int, _rest double"))
 
-    permuted = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "_block", F.lit(seed)), "_block")
-    known = blocks.join(quotas, "_source")
-    known = known.withColumn("_upto", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
-    known = known.withColumn("_fits", (F.col("_rest") > 0) & (F.col("_upto") <= F.col("_rest")))
-    known = known.withColumn("_room", F.col("_rest") - F.coalesce(F.max(F.when(F.col("_fits"), F.col("_upto"))).over(Window.partitionBy("_source")), F.lit(0)))
-    past = F.sum(F.when(~F.col("_fits"), 1)).over(permuted.rowsBetween(Window.unboundedPreceding, 0))
-    known = known.withColumn("_state", F.when(F.col("_fits"), 1).when((F.col("_room") > 0) & (past <= edge_blocks), 2).otherwise(0))
+    permuted = [F.xxhash64("_source", "_block", F.lit(seed)), "_block"]
+    known = blocks.join(quotas, "_source").withColumns({"_room": F.floor("_rest"), "_of": F.lit(1).cast("long"), "_got": F.lit(0).cast("long")})
+    known = filled(known, "words", permuted)
+    # What remains is less than any block left: single rows that fit, from a few blocks first, then from twice as many.
+    left = known.where("_got = 0").select("_source", "_block", "_room", "least", F.row_number().over(Window.partitionBy("_source").orderBy(*permuted)).alias("_nth"))
+    rooms, picks, tried, more = None, None, 0, edge_blocks
+    while True:
+        here = left if rooms is None else left.drop("_room").join(F.broadcast(rooms), "_source")
+        here = here.where((F.col("_nth") > tried) & (F.col("least") <= F.col("_room")))
+        if here.isEmpty():
+            break
+        batch = here.where(F.col("_nth") <= tried + more).select("_source", "_block", "_room")
+        slim = sized.select("_source", "_block", "_mark", "size").join(F.broadcast(batch) if more * len(sums) <= BROADCAST_BLOCKS else batch, ["_source", "_block"])
+        units = slim.where((F.col("size") > 0) & (F.col("size") <= F.col("_room"))).groupBy("_source", "_block", "_mark", "size", "_room").agg(F.count("*").alias("_of")).withColumn("_got", F.lit(0).cast("long"))
+        units = filled(units, "size", ["_mark", "size"])
+        used = units.groupBy("_source").agg(F.min("_room").alias("_now"))
+        before = left.groupBy("_source").agg(F.min("_room").alias("_room")) if rooms is None else rooms
+        rooms = checkpointed(before.join(used, "_source", "left").select("_source", F.coalesce("_now", "_room").alias("_room")))
+        taken = units.where("_got > 0").select("_source", "_block", "_mark", "size", "_of", "_got")
+        picks = taken if picks is None else checkpointed(picks.unionByName(taken))
+        tried, more = tried + more, 2 * more
+    if picks is None:
+        picks = spark.createDataFrame([], "_source string, _block long, _mark long, size long, _of long, _got long")
+    n_picks, n_parts = picks.agg(F.count("*"), F.count_if(F.col("_got") < F.col("_of"))).first()
+    edges = picks.select("_source", "_block", F.lit(2).alias("_edge")).distinct()
+    known = known.drop("_room").join(edges, ["_source", "_block"], "left").withColumn("_state", F.when(F.col("_got") > 0, 1).otherwise(F.coalesce("_edge", F.lit(0))))
     known = known.withColumn("_n", F.col("_whole") + F.least(F.col("_state"), F.lit(1)))
     last = Window.partitionBy("_source").orderBy(F.xxhash64("_block", "_source", F.lit(seed + 1)), "_block")
     known = checkpointed(known.withColumn("_first", F.sum("_n").over(last.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")))
@@ -99,24 +141,19 @@ def plan_mixture(docs: DataFrame, source_col: str, text_col: str, id_col: str, w
     leaves = splitting_tree([drawn[r["_source"]] for r in sums], shards, seed) if sums else []
     ends = [(r["_source"], np.cumsum([leaf[i] for leaf in leaves]).tolist()) for i, r in enumerate(sums)]
     ends = F.broadcast(spark.createDataFrame(ends, "_source string, _ends array<long>"))
-    known = known.join(ends, "_source").select("_source", "_block", "source_size", "target", "_state", "_room", "_whole", F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), lambda i: F.size(F.filter("_ends", lambda e: e <= F.col("_first") + i))).alias("_to"))
+    known = known.join(ends, "_source").select("_source", "_block", "source_size", "target", "_state", "_whole", F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), lambda i: F.size(F.filter("_ends", lambda e: e <= F.col("_first") + i))).alias("_to"))
 
     # Few blocks come to the rows, so the texts needn't move for them.
     known = F.broadcast(known) if sum(r["blocks"] for r in sums) <= BROADCAST_BLOCKS else known
     rows = sized.join(known, ["_source", "_block"])
     inner = rows.where(F.col("_state") != 2).withColumn("_taken", F.col("_state") == 1)
-    # The blocks at the boundary: rows in turn while they fit, then among the rest those that still fit, and again.
-    edge = rows.where(F.col("_state") == 2).withColumn("_taken", F.lit(False))
-    by_source = Window.partitionBy("_source")
-    for _ in range(4):
-        fits = ~F.col("_taken") & (F.col("size") <= F.col("_room"))
-        order = by_source.orderBy(F.desc("_fits"), "_mark", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
-        edge = edge.withColumn("_fits", fits).withColumn("_sum", F.sum(F.when(F.col("_fits"), F.col("size"))).over(order))
-        edge = edge.withColumn("_new", F.col("_fits") & (F.col("_sum") <= F.col("_room")))
-        edge = edge.withColumn("_room", F.col("_room") - F.coalesce(F.sum(F.when(F.col("_new"), F.col("size"))).over(by_source), F.lit(0)))
-        edge = edge.withColumn("_taken", F.col("_taken") | F.col("_new")).drop("_fits", "_sum", "_new")
+    # Blocks of which single rows are taken; of equal rows, any.
+    picks = picks.select("_source", "_mark", "size", "_of", "_got")
+    edge = rows.where(F.col("_state") == 2).join(F.broadcast(picks) if n_picks <= BROADCAST_BLOCKS else picks, ["_source", "_mark", "size"], "left")
+    nth = F.row_number().over(Window.partitionBy("_source", "_mark", "size").orderBy("_block")) if n_parts else F.lit(1)
+    edge = edge.withColumn("_taken", nth <= F.coalesce("_got", F.lit(0)))
     times = F.col("_whole") + F.when(F.col("_taken"), 1).otherwise(0)
-    return inner.unionByName(edge).select(*plain.columns, "size", "source_size", "target", F.slice("_to", F.lit(1), times).alias("draws"))
+    return inner.unionByName(edge.drop("_of", "_got")).select(*plain.columns, "size", "source_size", "target", F.slice("_to", F.lit(1), times).alias("draws"))
 
 
 def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:

@@ -112,6 +112,20 @@ def test_mixture_by_shuffle_is_the_same(spark, monkeypatch):
     assert rows() == a
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_long_text_leaves_no_target_unmet(spark, seed):
+    docs = spark.createDataFrame([(i, f"w{i} " * (30_000 if i == 300 else 100), "a") for i in range(301)], "doc_id long, text string, source string")
+    planned = mixing.plan_mixture(docs, "source", "text", "doc_id", share=0.5, seed=seed).select("size", "target", F.size("draws").alias("n")).toPandas()
+    assert (planned["target"] == 30_000).all() and (planned["size"] * planned["n"]).sum() == 30_000
+
+
+def test_rows_of_all_blocks_fill_what_blocks_leave(spark):
+    """Most blocks are of texts too long to be taken; repeated rows are taken as often as they fit."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 5_000, "a") for i in range(40)] + [(100, "one two", "a")] * 300 + [(200 + i, f"few words {i}", "a") for i in range(300)], "doc_id long, text string, source string")
+    planned = mixing.plan_mixture(docs, "source", "text", "doc_id", share=0.0035, block_bits=3, edge_blocks=1).select("size", "target", F.size("draws").alias("n")).toPandas()
+    assert planned["target"][0] - (planned["size"] * planned["n"]).sum() < 2 and len(planned) == 640
+
+
 def test_mixture_of_odd_rows(odd, clashing, empty, spark):
     planned = mixing.plan_mixture(odd, "source", "text", "doc_id").collect()
     assert len(planned) == odd.count()
