@@ -17,8 +17,16 @@ DICTIONARY = "account|address|class|commit|config|copy|data|date|default|documen
 ASSIGNED = r"(?i)(?:secret|passw(?:or)?d|pwd|token|api[_-]?key|auth|credential|private)[A-Za-z_-]*[\"']?\s*[:=]\s*[\"']?$"
 NAMED = r"(?i)secret|passw|pwd|token|key|auth|credential|private"
 INNOCENT = r"(?i)(?:commit|sha-?[0-9]+|md5|digest|checksum|uuid|id|version|isbn|order|number|example|sample)[\"']?[\s:=#]*[\"']?$"
-PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[abp]-)"
-FEATURES = ["length", "digits", "upper", "runs", "distinct", "hex", "numeric", "dashes", "coverage", "assigned", "named", "innocent", "prefix", "quoted", "test_path", "repeats"]
+KNOWN = r"(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[abp]-)"
+PREFIX = f"^{KNOWN}"
+_KEY = r"(?i:secret|passw(?:or)?d|pwd|token|api[_-]?key|auth|credential|private)"
+_AFTER = _KEY + r"[A-Za-z_-]{0,20}[\"']?\s{0,6}[:=]\s{0,6}"
+#: What is assigned, whatever its signs and length: up to the same quote, or else to a space, quote or one of ,;&<>. And what has a known prefix.
+VALUE = rf"(?<={_AFTER}\")[^\"\r\n]+(?=\")|(?<={_AFTER}')[^'\r\n]+(?=')|(?<={_AFTER}[\"']?)[^\s\"'`,;&<>]*[^\s\"'`,;&<>.)\]}}]|(?<![A-Za-z0-9+/_-]){KNOWN}[A-Za-z0-9+/_-]*"
+VALUED = rf"{_KEY}[A-Za-z_-]*[\"']?\s*[:=]|{KNOWN}"
+#: Runs that are like any word of a text. Without a context that speaks for a secret they are not proposed.
+ONE_WORD = "^(?:[A-Z]?[a-z]+|[A-Z]+)$"
+FEATURES = ["length", "digits", "upper", "runs", "distinct", "hex", "numeric", "dashes", "coverage", "assigned", "named", "innocent", "prefix", "quoted", "test_path", "repeats", "signs"]
 
 
 def _features(hit: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
@@ -42,15 +50,24 @@ def _features(hit: Column, before: Column, after: Column, path: Column) -> dict[
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         "test_path": flag(path.rlike("(?i)test|example|sample|fixture|mock|doc/")),
         "repeats": share(r"(.)\1\1+"),
+        "signs": share("[^A-Za-z0-9+/_-]"),
     }
 
 
 def candidates(docs: DataFrame, text_col: str, path_col: str | None, carry: list[str]) -> DataFrame:
-    """A row per candidate: ``carry``, s, e, hit and the features. Candidates have 12 signs or more, one of them a digit."""
+    """A row per candidate: ``carry``, s, e, hit and the features.
+
+    Candidates are runs of 12 signs or more, except single words of letters, and whatever is assigned to a
+    name such as password or has a known prefix, single words too. A value may hold runs that are candidates themselves.
+    """
     text = F.col(text_col)
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
     slim = docs.select(*[F.col(c).alias(f"_c_{c}") for c in carry], text.alias("_text"), path.alias("_path"))
-    found = with_matches(slim, "_found", F.col("_text"), CANDIDATE, F.col("_text").rlike("[0-9]"), lambda hit, before: hit.rlike("[0-9]"))
+    own = lambda hit: ~hit.rlike(ONE_WORD)
+    found = with_matches(slim, "_runs", F.col("_text"), CANDIDATE, F.col("_text").rlike("[0-9+/_-]|[A-Za-z][A-Z]"), lambda hit, before: own(hit))
+    # A value that is such a run has been found already.
+    found = with_matches(found, "_values", F.col("_text"), VALUE, F.col("_text").rlike(VALUED), lambda hit, before: ~(hit.rlike("^[A-Za-z0-9+/_-]{12,}$") & own(hit)))
+    found = found.withColumn("_found", F.concat("_runs", "_values"))
     # explode() would have the optimizer test for empty arrays first, and build them twice for that.
     one = found.select(*[F.col(f"_c_{c}") for c in carry], "_path", F.explode_outer("_found").alias("x")).where("x is not null")
     flat = one.select(*[F.col(f"_c_{c}").alias(c) for c in carry], F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.hit").alias("hit"), F.col("x.before").alias("before"), F.col("x.after").alias("after"), F.col("_path").alias("path"))
@@ -65,7 +82,27 @@ def sample_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     number = F.regexp_replace(F.conv(F.substring(sha, 1, 15), 16, 10), "^", "4")
     size = 12 + F.col("id") % 7
     word = F.element_at(F.array(*[F.lit(w) for w in ("Section", "paragraph_", "report-", "document", "index/", "tableline")]), (F.col("id") % 6 + 1).cast("int"))
+    letters = F.translate(sha, "0123456789abcdef", "aKjxQmZdtWrePbVy")
+    plain = F.array(*[F.lit(w) for w in ("required", "string", "None", "null", "changed", "nobody", "getenv", "Smith", "name")])
+    nouns = F.array(*[F.lit(w) for w in ("Horse", "Battery", "Staple", "River", "Garden", "Window", "Silver", "Monkey", "Summer", "Dragon", "Letmein")])
+    at = lambda words, k: F.element_at(words, (F.floor(F.col("id") / k) % F.size(words) + 1).cast("int"))
+    noun, other, third, low = at(nouns, 20), at(nouns, 7), at(nouns, 11), at(plain, 20)
     cases = [
+        (1, "the value ", F.concat(F.lit("AKIA"), F.left(F.upper(F.translate(sha, "0123456789", "GHIJLMNOPQ")), F.lit(16))), " of"),
+        (1, 'password="', F.concat(F.lower(noun), other, third), '" and'),
+        (1, "password: '", F.concat(F.lower(noun), F.lit("!"), F.left(number, F.lit(2))), "' then"),
+        (1, 'pwd = "', F.lower(noun), '" end'),
+        (1, "passwd=", F.concat(F.left(letters, F.lit(4)), F.lit("@$"), F.left(wide, F.lit(4))), " more"),
+        (1, 'secret = "', F.left(letters, (size + 6).cast("int")), '" in'),
+        (1, "password=", F.left(wide, (size - 6).cast("int")), " more"),
+        (0, "author: ", low, " wrote"),
+        (0, "password: ", low, " here"),
+        (0, "the token = ", low, " is"),
+        (0, "token = ", F.concat_ws(".", F.lower(noun), F.lower(other)), " or"),
+        (0, "call ", F.concat(F.lit("get"), noun, other, third), " to"),
+        (0, "a ", F.concat_ws("-", F.lower(noun), F.lower(other), F.lower(third)), " of"),
+        (0, "in ", F.concat_ws("/", F.lower(noun), F.lower(other), F.lower(third)), " or"),
+        (0, "with ", F.concat(F.lit("sk-"), F.left(F.lower(noun), F.lit(5))), " and"),
         (1, "the value ", F.concat(F.lit("AKIA"), F.left(capital, F.lit(16))), " of"),
         (1, 'token = "', F.left(sha, F.lit(40)), '" and'),
         (1, "password=", F.left(sha, size.cast("int")), " more"),
