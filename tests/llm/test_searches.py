@@ -75,6 +75,15 @@ def test_added_kinds_and_scores(spark):
     assert not any(x.hit == "123-45-6780" for x in found)
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"]
+    texts = [before + t + after for t in good for before in ("", "IBAN ", "REF AB12 CD34 ") for after in (" BIC COBADEFF", " GBP 500", " EUR", ".", "")]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").transform(pii.find_personal_data).orderBy("i").collect()
+    assert [[x.hit for x in r.pii if x.kind == "iban"] for r in found] == [[t] for t in good for _ in range(15)]
+    bad = spark.createDataFrame([("DE88 3704 0044 0532 0130 00 BIC COBADEFF",), ("DE89 3704 0044 0532 0130 0",)], "text string")
+    assert not any(x.kind == "iban" for r in pii.find_personal_data(bad).collect() for x in r.pii)
+
+
 def test_personal_data_of_odd_rows(odd, clashing, empty):
     assert pii.find_personal_data(odd).count() == odd.count()
     assert pii.find_personal_data(clashing).columns == [*[c for c in clashing.columns if c != "pii"], "pii"]
