@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is not set (tests, a single machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = _own_dir[0]
-    return folder
+    """The checkpoint folder of the session: that set by call, or in spark.checkpoint.dir. A temporary one only in local mode without either."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="checkpoints-"))
+    return _own_dir[0]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -50,10 +52,27 @@ def positive_hash(*cols: Column, seed: int = 0) -> Column:
     return F.xxhash64(*cols, F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most ``rows`` rows: whole texts may be long, and a batch must fit a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_sample(rows: DataFrame, most: int, *by: str, seed: int) -> DataFrame:
+    """At most ``most`` of the rows that differ in the columns ``by``: those with the smallest hashes of them.
+
+    The bound holds however often a key comes: rows equal in ``by`` are one, and the rest of the hashes are
+    ranked. Rows are counted first, so that only about twice ``most`` hashes are ranked.
+    """
+    share = min(1.0, 2.0 * most / max(1, rows.count()))
+    marked = rows.withColumn("_rank", positive_hash(*map(F.col, by), seed=seed)).where(F.col("_rank") < int(share * 2**62))
+    last = marked.select("_rank").distinct().orderBy("_rank").limit(most).agg(F.max("_rank")).first()[0]
+    return marked.where(F.col("_rank") <= F.lit(-1 if last is None else last)).dropDuplicates(["_rank"]).drop("_rank")
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, most: int, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """At most ``most`` of the rows of ``docs`` whose id is in ``known``, with the columns of ``known``; its ids occur once each.
+
+    Some 2 * ``most`` ids, chosen by their hashes, are sent to the texts, so texts of other ids don't move; of the rows found there, which
+    may be any number for an id, a bounded sample is left.
+    """
+    share = min(1.0, 2.0 * most / max(1, known.count()))
+    ids = known.where(positive_hash(F.col(id_col), seed=seed) < int(share * 2**62))
+    return bounded_sample(docs.select(id_col, text_col).join(F.broadcast(ids), id_col), most, id_col, text_col, seed=seed)
 
 
 def once(udf):

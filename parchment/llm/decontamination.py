@@ -1,16 +1,25 @@
-"""Benchmark decontamination: BM25 over test items with block-max pruning, then verified overlap."""
+"""Benchmark decontamination: BM25 over test items by block-max WAND, then verified overlap."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import once, small_batches, table
+from .common import checkpointed, once, table
 
 _PUNCTUATION = bytes.maketrans(b".,;:!?\"'()[]{}*", b" " * 15)
 FOUND = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
+#: Words in a piece of a question at most. A passage is twice as long, and one starts after each so many words, so any piece that a text holds lies in one.
+PIECE = 64
+#: So many texts with findings are sent to the tasks; with more, texts and findings are joined by a shuffle.
+BROADCAST_TEXTS = 100_000
+EPS = 1e-9
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -18,67 +27,155 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").casefold().encode("utf-8", "surrogatepass").translate(_PUNCTUATION).split()
 
 
-def _shingles(ids: list[int], width: int) -> set[tuple[int, ...]]:
+def _shingles(ids: list, width: int) -> list[tuple]:
     width = min(width, len(ids))
-    return {tuple(ids[i : i + width]) for i in range(len(ids) - width + 1)} if ids else set()
+    return [tuple(ids[i : i + width]) for i in range(len(ids) - width + 1)] if ids else []
+
+
+def pieces(words: list, width: int) -> list[list]:
+    """``words`` cut so that each of its ``width``-word shingles lies in one piece."""
+    step = PIECE - width + 1
+    return [words[at : at + PIECE] for at in range(0, max(1, len(words) - width + 1), step)] if words else []
+
+
+def least_score(weights: dict, shingles: list[tuple], overlap: float) -> float:
+    """The least share of a piece's weight that a passage with ``overlap`` of its distinct shingles can have.
+
+    A word is missing from the passage only if all shingles with it are. So what may be missing is bounded by the words that
+    weigh most for the shingles they are in (each missing shingle counts for as many words as it has), and, as a run
+    of missing shingles frees no more words than it has members, by as many of the heaviest words.
+    """
+    often = Counter(shingles)
+    spare = int(len(often) * (1 - overlap) + EPS)
+    within = Counter(w for s in often for w in set(s))
+    total = sum(weights.values())
+    heaviest = sum(sorted(weights.values(), reverse=True)[: spare * max(often.values(), default=1)])
+    room, light = float(spare * len(next(iter(often), ()))), 0.0
+    for w in sorted(weights, key=lambda w: -weights[w] / within[w]):
+        part = min(1.0, room / within[w])
+        light, room = light + part * weights[w], room - part * within[w]
+        if room <= 0:
+            break
+    return max(0.05, 1 - min(heaviest, light) / total)
 
 
 class ItemIndex:
-    """An inverted index of test items.
+    """An inverted index of the pieces of test items, searched by block-max WAND.
 
-    A posting's impact is its BM25 weight over the item's weight for its own text, so 1 is the most that a
-    passage with each word once can reach, and one threshold fits all items. Items in numeric order form
-    blocks; each term has, for each block that it occurs in, the greatest impact there.
+    A posting's impact is its BM25 weight over the least weight that a passage with enough of the piece's shingles
+    can have (``least_score``), so 1 is the threshold for all of them, and nothing that the verification would accept lies below. Pieces in the
+    order of their items form blocks; each term has the greatest impact of each block it occurs in. The heaviest words of a piece, without which the others
+    reach no more than ``light``, are listed by themselves. ``stats`` are those of
+    all items, whatever part of them this index holds: number and mean length of pieces, and pieces by term.
     """
 
-    def __init__(self, items: list[tuple[int, str, str | None]], width: int, block: int = 16, k1: float = 1.2, b: float = 0.75):
-        self.width = width
+    def __init__(self, items: list[tuple[int, str, str | None]], stats: tuple[int, float, dict[bytes, int]], width: int, overlap: float, block: int = 16, light: float = 0.8, k1: float = 1.2, b: float = 0.75):
+        n, mean, df = stats
+        self.width, self.overlap, self.block = width, overlap, block
         self.vocabulary: dict[bytes, int] = {}
-        self.ids, self.question, self.answer, lengths, postings = [], [], [], [], []
+        self.ids, self.answers, self.own_pieces = [], [], []
+        self.item_of, self.shingles, self.self_score = [], [], []
+        self.at: list[list[int]] = []
+        self.impact: list[list[float]] = []
+        self.rest, heavy = [], []
         for item, question, answer in items:
             words = tokens(question)
             if not words:
                 continue
             own = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            self.answer.append({self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(answer)})
-            self.question.append(_shingles(own, width))
-            terms, counts = np.unique(own, return_counts=True)
-            postings.append(np.stack([terms, np.full(len(terms), len(self.ids)), counts]))
-            lengths.append(len(own))
+            self.answers.append({self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(answer)})
+            self.own_pieces.append([])
+            for part in pieces(own, width):
+                tf, cut = Counter(part), _shingles(part, width)
+                idf = {t: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for t, w in zip(part, words[len(self.own_pieces[-1]) * (PIECE - width + 1) :], strict=False)}
+                weight = {t: float(idf[t] * c * (k1 + 1) / (c + k1 * (1 - b + b * len(part) / max(mean, 1)))) for t, c in tf.items()}
+                total, least = sum(weight.values()), least_score(weight, cut, overlap)
+                self.at += [[] for _ in range(len(self.vocabulary) - len(self.at))]
+                self.impact += [[] for _ in range(len(self.vocabulary) - len(self.impact))]
+                rest = 1 / least
+                for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+                    self.at[t].append(len(self.item_of))
+                    self.impact[t].append(w / total / least)
+                    if rest > light:
+                        rest -= w / total / least
+                        heavy.append((t, len(self.item_of), w / total / least))
+                self.rest.append(rest)
+                self.own_pieces[-1].append(len(self.item_of))
+                self.item_of.append(len(self.ids))
+                self.shingles.append(set(cut))
+                self.self_score.append(least)
             self.ids.append(item)
-        n, v = len(self.ids), len(self.vocabulary)
-        self.longest = max(lengths, default=0)
-        term, item, tf = np.concatenate(postings, axis=1) if postings else np.zeros((3, 0), np.int64)
-        df = np.bincount(term, minlength=v)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        size = np.array(lengths, float)
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (size / max(size.mean(), 1) if n else size)[item]))
-        self.impact = weight / np.bincount(item, weights=weight, minlength=n)[item]
-        order = np.lexsort((item, term))
-        self.item, self.impact = item[order], self.impact[order]
-        self.start = np.concatenate(([0], np.cumsum(df)))
-        self.block, self.blocks = block, -(-n // block)
-        key, at = np.unique(term[order] * max(1, self.blocks) + self.item // block, return_inverse=True)
-        self.block_max = np.zeros(len(key))
-        np.maximum.at(self.block_max, at, self.impact)
-        self.block_of = key % max(1, self.blocks)
-        self.block_start = np.searchsorted(key // max(1, self.blocks), np.arange(v + 1))
-        self.term_max = np.zeros(v)
-        np.maximum.at(self.term_max, term[order], self.impact)
-
-    @staticmethod
-    def _spread(start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For a list of terms, the places of all their entries, and which term of the list each belongs to."""
-        n = start[terms + 1] - start[terms]
-        owner = np.repeat(np.arange(len(terms)), n)
-        return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + start[terms][owner], owner
-
-    def search(self, text: str | None, threshold: float, overlap: float, answer_overlap: float) -> list[tuple[int, float, float, float]]:
+        self.at += [[] for _ in range(len(self.vocabulary) - len(self.at))]
+        self.impact += [[] for _ in range(len(self.vocabulary) - len(self.impact))]
+        self.term_max = np.array([max(i, default=0.0) for i in self.impact])
+        self.block_max: list[dict[int, float]] = []
+        for at, impact in zip(self.at, self.impact, strict=True):
+            most: dict[int, float] = defaultdict(float)
+            for p, i in zip(at, impact, strict=True):
+                most[p // block] = max(most[p // block], i)
+            self.block_max.append(dict(most))
+        self.heavy_at, self.heavy_impact = np.array([h[1] for h in heavy], np.int64), np.array([h[2] for h in heavy])
+        of = np.array([h[0] for h in heavy], np.int64)
+        order = np.argsort(of, kind="stable")
+        self.heavy_at, self.heavy_impact, self.heavy_start = self.heavy_at[order], self.heavy_impact[order], np.searchsorted(of[order], np.arange(len(self.at) + 1))
+        self.rest = np.array(self.rest)
+
+    def above(self, terms: list[int], start: int, end: int) -> list[tuple[int, float]]:
+        """The pieces from ``start`` up to ``end`` whose impacts for ``terms`` add up to 1 or more, and the sums.
+
+        Cursors over the terms' postings are kept in the order of their pieces. The pivot is the first piece at which the greatest impacts
+        of the terms up to there reach 1; nothing before it can. If the block maxima there can't, the cursors go on to
+        the first block that ends or the next cursor; else they go on to the pivot, which is scored once all are there.
+        """
+        tops, found, size = self.term_max, [], self.block
+        cursors = [[start, t, 0, float(tops[t])] for t in terms]
+
+        def go_on(c: list, to: int) -> None:
+            at = self.at[c[1]]
+            c[2] = bisect_left(at, to, c[2])
+            c[0] = at[c[2]] if c[2] < len(at) else end
+
+        for c in cursors:
+            go_on(c, start)
+        while True:
+            cursors.sort(key=_piece)
+            reach, p = 0.0, -1
+            for p, c in enumerate(cursors):
+                reach += c[3]
+                if reach >= 1 - EPS:
+                    break
+            else:
+                return found
+            pivot = cursors[p][0]
+            if pivot >= end:
+                return found
+            while p + 1 < len(cursors) and cursors[p + 1][0] == pivot:
+                p += 1
+            block = pivot // size
+            most = 0.0
+            for c in cursors[: p + 1]:
+                most += self.block_max[c[1]].get(block, 0.0)
+            if most < 1 - EPS:
+                to = (block + 1) * size
+                if p + 1 < len(cursors):
+                    to = max(pivot + 1, min(to, cursors[p + 1][0]))
+                for c in cursors[: p + 1]:
+                    go_on(c, to)
+            elif cursors[0][0] == pivot:
+                score = sum(self.impact[c[1]][c[2]] for c in cursors[: p + 1])
+                if score >= 1 - EPS:
+                    found.append((pivot, score))
+                for c in cursors[: p + 1]:
+                    go_on(c, pivot + 1)
+            else:
+                for c in cursors[: p + 1]:
+                    if c[0] < pivot:
+                        go_on(c, pivot)
+
+    def search(self, text: str | None, answer_overlap: float) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of the items that the text holds.
 
-        Passages of twice the longest item's length start every item's length, so any item that the text
-        holds lies in one. A passage is dropped if its terms' greatest impacts, then a block if its
-        block maxima, can't reach the threshold; the items of the blocks left are scored exactly.
+        Every passage of the text asks for the pieces above the threshold, in the blocks where the heaviest words of a piece leave that open.
         """
         words = tokens(text)
         if not words or not self.ids:
@@ -89,70 +186,143 @@ class ItemIndex:
         if not places.size:
             return []
         v = len(self.vocabulary)
-        window = places // self.longest
+        window = places // PIECE
         pair = np.unique(np.concatenate([window * v + ids[places], (window[window > 0] - 1) * v + ids[places[window > 0]]]))
         window, term = np.divmod(pair, v)
-        live = np.bincount(window, weights=self.term_max[term]) >= threshold
-        keep = live[window]
-        if not keep.any():
-            return []
-        window, term = window[keep], term[keep]
-        at, owner = self._spread(self.block_start, term)
-        most = np.bincount(window[owner] * self.blocks + self.block_of[at], weights=self.block_max[at], minlength=len(live) * self.blocks)
-        open_ = most >= threshold - 1e-9
-        keep = open_.reshape(-1, self.blocks).any(axis=1)[window]
-        if not keep.any():
-            return []
-        window, term = window[keep], term[keep]
-        at, owner = self._spread(self.start, term)
-        item, where = self.item[at], window[owner]
-        keep = open_[where * self.blocks + item // self.block]
-        key, inverse = np.unique(where[keep] * len(self.ids) + item[keep], return_inverse=True)
-        score = np.bincount(inverse, weights=self.impact[at[keep]], minlength=len(key))
-        best: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(score >= threshold - 1e-9):
-            at_window, i = divmod(int(key[k]), len(self.ids))
-            passage = ids[at_window * self.longest : (at_window + 2) * self.longest].tolist()
-            wanted = self.question[i]
-            width = len(next(iter(wanted)))
-            share = len(wanted & {tuple(passage[j : j + width]) for j in range(len(passage) - width + 1)}) / len(wanted)
-            answer = self.answer[i]
-            told = len(answer.intersection(passage)) / len(answer) if answer else 1.0
-            if share >= overlap and told >= answer_overlap:
-                best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (share, told, float(score[k])))
-        return [(self.ids[i], s, q, a) for i, (q, a, s) in sorted(best.items())]
-
-
-def mark_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", question_col: str = "text", answer_col: str | None = None, threshold: float = 0.6, overlap: float = 0.8, answer_overlap: float = 0.8, width: int = 5, most_items: int = 20000) -> DataFrame:
-    """All columns of ``docs`` plus contamination: array of struct(item_id, score, question_overlap, answer_overlap).
-
-    Every passage of every text asks a BM25 index of the items. What scores ``threshold`` of an item's own
-    score or more is verified: ``overlap`` of the question's ``width``-word shingles and ``answer_overlap``
-    of the answer's words must be in the passage. Items are sent to the tasks in indexes of at most
-    ``most_items``, one pass over the texts for each, whatever their number. Items without words are
-    left out; shorter questions are one shingle; equal items are each found. Null and empty texts hold
-    none. A column named contamination is replaced.
+        first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+        last = np.append(first[1:], len(window))
+        best: dict[int, tuple[float, float]] = {}
+        for k, s, e, blocks in self._open(window, term, first, last):
+            terms = term[s:e].tolist()
+            above = [hit for b in blocks for hit in self.above(terms, b * self.block, (b + 1) * self.block)]
+            cut = None
+            for p, score in above:
+                wanted, i = self.shingles[p], self.item_of[p]
+                passage = ids[k * PIECE : (k + 2) * PIECE].tolist()
+                cut = {} if cut is None else cut
+                width = len(next(iter(wanted)))
+                if width not in cut:
+                    cut[width] = set(_shingles(passage, width)) if len(passage) >= width else set()
+                if len(wanted & cut[width]) < self.overlap * len(wanted) - EPS:
+                    continue
+                answer = self.answers[i]
+                told = len(answer.intersection(passage)) / len(answer) if answer else 1.0
+                best[i] = max(best.get(i, (0.0, 0.0)), (told, score * self.self_score[p]))
+        found = []
+        for i, (told, score) in sorted(best.items()):
+            if told >= answer_overlap - EPS and (share := self._held(i, ids)) >= self.overlap - EPS:
+                found.append((self.ids[i], score, share, told))
+        return found
+
+    def _open(self, window: np.ndarray, term: np.ndarray, first: np.ndarray, last: np.ndarray, at_once: int = 512) -> Iterator[tuple[int, int, int, list[int]]]:
+        """Passages, the places of their terms, and the blocks with a piece whose heavy words in the passage leave open that it reaches 1."""
+        size = len(self.rest)
+        for at in range(0, len(first), at_once):
+            begin, end = first[at : at + at_once], last[at : at + at_once]
+            own = term[begin[0] : end[-1]]
+            n = self.heavy_start[own + 1] - self.heavy_start[own]
+            row = np.repeat(np.repeat(np.arange(len(begin)), end - begin), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.heavy_start[own], n)
+            key, inverse = np.unique(row * size + self.heavy_at[place], return_inverse=True)
+            reach = np.bincount(inverse, weights=self.heavy_impact[place], minlength=len(key)) + self.rest[key % size]
+            open_ = key[reach >= 1 - EPS]
+            row, block = np.divmod(np.unique(open_ // size * size + open_ % size // self.block), size)
+            for r in np.unique(row).tolist():
+                yield int(window[begin[r]]), int(begin[r]), int(end[r]), block[row == r].tolist()
+
+    def _held(self, i: int, ids: np.ndarray) -> float:
+        """The share of an item's shingles in the text, each piece's counted in the passage that has most of them."""
+        own = self.own_pieces[i]
+        width = len(next(iter(self.shingles[own[0]])))
+        wanted: dict[tuple, list[int]] = defaultdict(list)
+        for p in own:
+            for cut in self.shingles[p]:
+                wanted[cut].append(p)
+        held: dict[tuple[int, int], set] = defaultdict(set)
+        known = ids.tolist()
+        for at in range(len(known) - width + 1):
+            cut = tuple(known[at : at + width])
+            for p in wanted.get(cut, ()):
+                # A shingle lies in a passage if it ends within it.
+                for k in (at // PIECE - 1, at // PIECE):
+                    if k >= 0 and at + width <= (k + 2) * PIECE:
+                        held[p, k].add(cut)
+        most: dict[int, int] = defaultdict(int)
+        for (p, _), cuts in held.items():
+            most[p] = max(most[p], len(cuts))
+        return sum(most.values()) / sum(len(self.shingles[p]) for p in own)
+
+
+def _piece(cursor: list) -> int:
+    return cursor[0]
+
+
+def item_statistics(items: DataFrame, width: int) -> tuple[int, float, DataFrame]:
+    """Number and mean length of the pieces of all items' questions (column q), and how many pieces each word (term) is in."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [p for q in pdf["q"] for p in pieces(tokens(q), width)]
+            yield pd.DataFrame({"n": pd.Series([len(p) for p in own], dtype="int32"), "terms": pd.Series([sorted(set(p)) for p in own], dtype="object")})
+
+    parts = checkpointed(items.select("q").mapInPandas(cut, "n int, terms array<binary>"))
+    n, mean = parts.agg(F.count("*"), F.avg("n")).first()
+    return n, mean or 0.0, parts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def mark_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", question_col: str = "text", answer_col: str | None = None, overlap: float = 0.8, answer_overlap: float = 0.8, width: int = 5, most_items: int = 20000) -> DataFrame:
+    """All columns of ``docs`` plus contamination: array of struct(item_id, score, question_overlap, answer_overlap), in the order of item_id.
+
+    Every passage of every text asks a BM25 index of the items' questions, long ones in pieces of 64 words. A piece is retrieved if its score
+    reaches the least that a passage with ``overlap`` of its ``width``-word shingles can have; so the threshold
+    hides nothing. What is retrieved is verified: ``overlap`` of the question's shingles must be in the text (those of a piece in one passage), and
+    ``answer_overlap`` of the answer's words in a passage that holds a piece. score is the greatest of the pieces' there, over a piece's score for itself.
+
+    Statistics are those of all items. An index holds about ``most_items`` items; with more items there are several, one
+    after the other, each with a pass over the texts of its own, and results are the same for any number of them. Items without
+    words are left out; shorter questions are one shingle; equal items are each found; equal scores need no order, as all
+    that pass are returned. Null and empty texts hold none. A column named contamination is replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     asked = items.select(F.col(item_id).cast("long").alias("i"), F.col(question_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
+    plain = docs.drop(*(["contamination"] if text_col != "contamination" else []))
     parts = max(1, -(-asked.count() // most_items))
-    marked = docs.drop(*(["contamination"] if text_col != "contamination" else []))
-    names = []
-    for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("i", "q"), F.lit(parts)) == part) if parts > 1 else asked
-        index = spark.sparkContext.broadcast(ItemIndex(sorted(((r["i"], r["q"], r["a"]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), width))
+    n, mean, df = item_statistics(asked, width)
+    df = checkpointed(df) if parts > 1 else df
+
+    def asker(part: int) -> tuple[Callable, object]:
+        own = asked.where(F.pmod(F.xxhash64("i", "q"), F.lit(parts)) == part) if parts > 1 else asked
+        rows = sorted(((r["i"], r["q"], r["a"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
+        if parts > 1:
+            words = spark.createDataFrame([(w,) for w in {w for r in rows for w in tokens(r[1])}], "term binary")
+            known = {bytes(r["term"]): r["df"] for r in df.join(F.broadcast(words), "term").collect()}
+        else:
+            known = {bytes(r["term"]): r["df"] for r in df.collect()}
+        index = spark.sparkContext.broadcast(ItemIndex(rows, (n, mean, known), width, overlap))
+        return once(F.pandas_udf(_asker(index, answer_overlap), FOUND)), index
 
-        names.append(f"_found{part}")
-        marked = marked.withColumn(names[-1], once(F.pandas_udf(_asker(index, threshold, overlap, answer_overlap), FOUND))(F.col(text_col)))
-    return marked.withColumn("contamination", F.concat(*names)).drop(*names)
+    if parts == 1:
+        return plain.withColumn("contamination", asker(0)[0](F.col(text_col)))
+    # What a text holds depends on nothing but the text, so findings go by two hashes of it.
+    marks = [F.xxhash64(text_col).alias("_h"), F.xxhash64(F.col(text_col), F.lit(9)).alias("_k")]
+    found = None
+    for part in range(parts):
+        ask, index = asker(part)
+        here = checkpointed(docs.select(*marks, ask(F.col(text_col)).alias("_found")).where(F.size("_found") > 0).dropDuplicates(["_h", "_k"]))
+        index.destroy()
+        found = here if found is None else found.unionByName(here)
+    found = checkpointed(found.groupBy("_h", "_k").agg(F.flatten(F.collect_list("_found")).alias("_found")))
+    found = found.select(F.col("_h").alias("_h2"), F.col("_k").alias("_k2"), "_found")
+    found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
+    joined = plain.select("*", *marks).join(found, (F.col("_h") == F.col("_h2")) & (F.col("_k") == F.col("_k2")), "left")
+    return joined.select(*plain.columns, F.coalesce(F.array_sort("_found"), F.array().cast(FOUND)).alias("contamination"))
 
 
-def _asker(index, threshold: float, overlap: float, answer_overlap: float):
+def _asker(index, answer_overlap: float):
     names = ("item_id", "score", "question_overlap", "answer_overlap")
 
     def ask(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, f, strict=True)) for f in index.value.search(t, threshold, overlap, answer_overlap)] for t in texts], dtype="object")
+        return pd.Series([[dict(zip(names, f, strict=True)) for f in index.value.search(t, answer_overlap)] for t in texts], dtype="object")
 
     return ask
 

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_crc_mod, positive_hash, small_batches, table
+from .common import checkpointed, id_crc_mod, positive_hash, table
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -72,20 +72,23 @@ def spherical_means(rows: np.ndarray, clusters: int, rounds: int = 12, seed: int
 def fit_centroids(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = 600, clusters: int = 4, reject: float = 0.002) -> dict:
     """Inverse document frequencies, and the centroids and least accepted cosine of each language.
 
-    About ``per_language`` rows of each language are learnt from, chosen by a hash of their ids; each
-    language is clustered in a task of its own, which that number bounds.
+    At most ``per_language`` rows of each language are learnt from, which differ in id or text and have the smallest
+    hashes of them; each language is clustered in a task of its own, which that number bounds.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), per_language / F.col("n"))
-    chosen = rows.join(F.broadcast(sizes), "lang").where(positive_hash(F.col("id"), seed=10).cast("double") < share * float(2**62))
+    share = F.least(F.lit(1.0), 2.0 * per_language / F.col("n"))
+    some = rows.join(F.broadcast(sizes), "lang").withColumn("mark", positive_hash(F.col("id"), F.col("text"), seed=10)).where(F.col("mark").cast("double") <= share * float(2**62))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    last = some.select("lang", "mark").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("mark").alias("last"))
+    chosen = some.join(F.broadcast(last), "lang").where("mark <= last").dropDuplicates(["lang", "mark"])
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(i, x, c) for i, x, t in zip(pdf["id"], pdf["lang"], pdf["text"], strict=True) if (c := ngram_counts(t)) is not None]
-            yield pd.DataFrame({"id": pd.Series([f[0] for f in found], dtype="int64"), "lang": pd.Series([f[1] for f in found], dtype="object"), "counts": [f[2].astype("float32") for f in found]})
+            found = [(i, x, k, c) for i, x, k, t in zip(pdf["id"], pdf["lang"], pdf["mark"], pdf["text"], strict=True) if (c := ngram_counts(t)) is not None]
+            yield pd.DataFrame({"id": pd.Series([f[0] for f in found], dtype="int64"), "lang": pd.Series([f[1] for f in found], dtype="object"), "mark": pd.Series([f[2] for f in found], dtype="int64"), "counts": [f[3].astype("float32") for f in found]})
 
-    ready = checkpointed(chosen.select("id", "text", "lang").mapInPandas(vectors, "id long, lang string, counts array<float>"))
+    ready = checkpointed(chosen.select("id", "text", "lang", "mark").mapInPandas(vectors, "id long, lang string, mark long, counts array<float>"))
 
     def seen(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = np.array(pdf["counts"].tolist()).reshape(-1, DIMS)
@@ -97,7 +100,7 @@ def fit_centroids(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     idf = np.log((1 + sums["n"].sum()) / (1 + np.sum(sums["df"].tolist(), axis=0))) + 0.05
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values(["id", "mark"])
         unit = _weighted(np.array(pdf["counts"].tolist()).reshape(-1, DIMS), idf)
         centres = spherical_means(unit, clusters)
         least = float(np.quantile((unit @ centres.T).max(axis=1), reject))
@@ -116,7 +119,6 @@ def identify(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", tex
     language reach. Null texts, those without a letter, and all texts if nothing was learnt: ``und``, 0,
     true. Repeated rows and ids are each judged by their own text; columns with the new names are replaced.
     """
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_centroids(learn_from, id_col, text_col, lang_col, **fit))
 
     def nearest(texts: pd.Series) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, id_crc_mod, positive_hash, small_batches, table
+from .common import checkpointed, id_crc_mod, labelled_sample, positive_hash, table
 from .word_features import hashed_ngrams
 
 BITS = 18
@@ -33,18 +33,20 @@ class Leader:
         self.n[at] += g * g
 
 
-def _follower(state, number: int, passes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Leads one shard through a round, and gives the coordinates that changed."""
+def _follower(state, number: int, passes: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Leads the shards of a partition through a round, each from the common state, and gives the coordinates that changed."""
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, n = state.value
-        leader = Leader(z.copy(), n.copy())
-        pdf = pdf.sort_values(["id", "y"]).reset_index(drop=True)
-        order = np.random.default_rng(number)
-        for i in np.concatenate([order.permutation(len(pdf)) for _ in range(passes)]):
-            leader.learn(np.asarray(pdf["at"][i]), np.asarray(pdf["x"][i], np.float64), int(pdf["y"][i]))
-        changed = np.flatnonzero((leader.n != n) | (leader.z != z))
-        return pd.DataFrame({"at": changed, "z": leader.z[changed], "n": leader.n[changed], "shard": int(pdf["shard"][0])})
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame(columns=["id", "y", "at", "x", "shard"]), *batches])
+        for shard, own in rows.groupby("shard"):
+            z, n = state.value
+            leader = Leader(z.copy(), n.copy())
+            own = own.sort_values(["id", "y", "mark"]).reset_index(drop=True)
+            order = np.random.default_rng(number)
+            for i in np.concatenate([order.permutation(len(own)) for _ in range(passes)]):
+                leader.learn(np.asarray(own["at"][i]), np.asarray(own["x"][i], np.float64), int(own["y"][i]))
+            changed = np.flatnonzero((leader.n != n) | (leader.z != z))
+            yield pd.DataFrame({"at": changed, "z": leader.z[changed], "n": leader.n[changed], "shard": int(shard)})
 
     return follow
 
@@ -54,28 +56,29 @@ def _mean(field: str) -> Column:
     return F.aggregate(F.transform("s", lambda s: s[field]), F.lit(0.0), lambda total, x: total + x) / F.size("s")
 
 
-def train(rows: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 20000, shards: int = 6, rounds: int = 4, bits: int = BITS) -> np.ndarray:
-    """Weights learnt from at most about ``sample`` labelled rows, chosen by a hash of their ids.
+def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "y", shards: int = 6, rounds: int = 4, bits: int = BITS) -> np.ndarray:
+    """Weights learnt from ``rows``, which are a bounded sample.
 
-    In each round every shard of the sample follows its own leader from the common state, over its
-    rows as often as 10,000 updates need; the states of the coordinates that shards changed are then
-    averaged. The driver holds 2^bits numbers.
+    The sample is dealt into shards by the hashes of its ids once, and stays so. In each round every shard
+    follows its own leader from the common state, over its rows as often as 10,000 updates need; the
+    states of the coordinates that shards changed are then averaged. The driver holds 2^bits numbers.
     """
     spark = rows.sparkSession
-    known = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.cast("int").alias("y")).where("y is not null and id is not null")
+    known = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [hashed_ngrams(t, bits) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "at": [f[0].astype("int32") for f in found], "x": [f[1].astype("float32") for f in found]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "at": [f[0].astype("int32") for f in found], "x": [f[1].astype("float32") for f in found], "shard": pdf["shard"], "mark": pdf["mark"]})
 
-    ready = checkpointed(known.mapInPandas(features, "id long, y int, at array<int>, x array<float>").withColumn("shard", (positive_hash(F.col("id"), seed=11) % shards).cast("int")))
+    dealt = known.withColumns({"shard": (positive_hash(F.col("id"), seed=11) % shards).cast("int"), "mark": F.xxhash64("text")}).repartitionById(shards, F.col("shard"))
+    ready = checkpointed(dealt.mapInPandas(features, "id long, y int, at array<int>, x array<float>, shard int, mark long"))
     passes = min(20, -(-10000 // max(1, ready.count())))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     for number in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        states = ready.groupBy("shard").applyInPandas(_follower(state, number, passes), "at long, z double, n double, shard int")
+        states = ready.mapInPandas(_follower(state, number, passes), "at long, z double, n double, shard int")
         mixed = states.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("shard", "z", "n"))).alias("s"))
         new = mixed.select("at", _mean("z").alias("z"), _mean("n").alias("n")).toPandas()
         z[new["at"]], n[new["at"]] = new["z"], new["n"]
@@ -99,15 +102,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """id, held_out, score and predicted for each row of ``docs``.
 
     Only labelled rows whose crc32 of the id is not a multiple of 5 are learnt from, and only their
-    texts. A null id is not held out and not learnt from. Without labels every score is 0.5. Null
+    texts: at most ``sample`` rows, which differ in id or text and have the smallest hashes of them. A null id is not held out and not learnt from. Without labels every score is 0.5. Null
     labels are left out; of several labels of an id the lowest counts; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.where(F.col("quality").isNotNull() & (id_crc_mod(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(positive_hash(F.col("doc_id"), seed=4) < int(share * 2**62)).select(F.col("doc_id").alias(id_col), "_y")
-    weights = train(docs.select(id_col, text_col).join(chosen, id_col), F.col("_y"), id_col, text_col, sample)
+    known = labels.where(F.col("quality").isNotNull() & (id_crc_mod(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("_y")).withColumnRenamed("doc_id", id_col)
+    weights = train(labelled_sample(docs, known, sample, id_col, text_col, seed=4), id_col, text_col, "_y")
     held = F.coalesce(id_crc_mod(F.col(id_col), 5) == 0, F.lit(False)).alias("held_out")
     return docs.select(F.col(id_col), held, score_texts(F.col(text_col), weights, spark).alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 

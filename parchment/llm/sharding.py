@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, positive_hash, table
 
 KEY_BITS = 62
-#: Bits by which a round of probes refines an interval of the key space.
-STEP = 6
+#: Bits by which a round of probes refines an interval of the key space at most, and how many bins come to the driver in a round, or two for each open boundary if that is more.
+STEP, BINS = 6, 1 << 18
 
 
 @dataclass
@@ -42,13 +43,14 @@ def _bins(rows: list, bits: int) -> list[_Bin]:
     return [_Bin(r["of"], r["bin"], bits, r["bytes"], r["rows"], low=tuple(r["low"]), high=tuple(r["high"])) for r in rows]
 
 
-def find_splitters(keyed: DataFrame, parts: int, total: int, first: list[_Bin], tolerance: float) -> list[tuple[tuple[int, int], int, int]]:
+def find_splitters(keyed: DataFrame, parts: int, total: int, first: list[_Bin], tolerance: float, whole: float = 0.0) -> list[tuple[tuple[int, int], int, int]]:
     """For each of the ``parts - 1`` inner boundaries: its key (h, k), and the bytes and rows below it.
 
     ``keyed`` has h, k and size. A boundary is settled when the bytes below it are within
     ``tolerance`` of a part from the ideal, or when only rows of one key are left between its probes;
-    then the nearer side is taken. Each round counts bytes and rows in at most 2^STEP bins for
-    each open boundary, so what comes to the driver depends on ``parts`` alone.
+    then the nearer side is taken. A boundary within the rows of one h moves to their nearer end if ``whole`` bytes or fewer
+    lie between. Each round counts bytes and rows in at most 2^STEP bins for each open boundary, and in fewer where many
+    boundaries are open, so what comes to the driver depends on ``parts`` alone.
     """
     allowed = tolerance * total / parts
     settled: dict[int, tuple[tuple[int, int], int, int]] = {}
@@ -67,7 +69,8 @@ def find_splitters(keyed: DataFrame, parts: int, total: int, first: list[_Bin],
             for t in b.targets[:]:
                 ideal = total * t / parts
                 below, above = ideal - b.bytes_below, b.bytes_below + b.bytes - ideal
-                if min(below, above) <= allowed or b.low == b.high:
+                one_h = b.h is None and b.low[0] == b.high[0]
+                if min(below, above) <= (max(allowed, whole) if one_h else allowed) or b.low == b.high:
                     end = above < below
                     settled[t] = (b.start(int(end)), b.bytes_below + end * b.bytes, b.rows_below + end * b.rows)
                     b.targets.remove(t)
@@ -78,6 +81,7 @@ def find_splitters(keyed: DataFrame, parts: int, total: int, first: list[_Bin],
     todo = place(first, list(range(1, parts)), 0, 0)
     spark = keyed.sparkSession
     while todo:
+        step = min(STEP, max(1, (BINS // len(todo)).bit_length() - 1))
         asks: dict[tuple[bool, int], list[_Bin]] = {}
         # Where only one h is left, go on by k, in a new bin: the old one still says where its keys are.
         todo = [replace(b, h=b.low[0], prefix=0, bits=0) if b.h is None and b.low[0] == b.high[0] else b for b in todo]
@@ -85,7 +89,7 @@ def find_splitters(keyed: DataFrame, parts: int, total: int, first: list[_Bin],
             asks.setdefault((b.h is None, b.bits), []).append(b)
         counts = None
         for (by_h, bits), own in asks.items():
-            fine = min(KEY_BITS, bits + STEP)
+            fine = min(KEY_BITS, bits + step)
             prefix = lambda c, n: F.shiftright(F.col(c), KEY_BITS - n)
             if by_h:
                 wanted = F.broadcast(spark.createDataFrame([(b.prefix,) for b in own], "prefix long"))
@@ -100,16 +104,16 @@ def find_splitters(keyed: DataFrame, parts: int, total: int, first: list[_Bin],
             inner.setdefault((r["of"], r["coarse"], r["bin"] >> (r["fine"] - r["coarse"])), []).append(r)
         again = []
         for b in todo:
-            again += place(_bins(inner[b.h, b.bits, b.prefix], min(KEY_BITS, b.bits + STEP)), b.targets, b.bytes_below, b.rows_below)
+            again += place(_bins(inner[b.h, b.bits, b.prefix], min(KEY_BITS, b.bits + step)), b.targets, b.bytes_below, b.rows_below)
         todo = again
     return [settled[t] for t in range(1, parts)]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int | None = None, tolerance: float = 0.002) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int | None = None, tolerance: float = 0.002, whole: float = 0.005) -> DataFrame:
     """All columns of ``docs`` plus size, shard and slot: shards of nearly equal bytes, in the order of a hash of the text, then of the id.
 
     size is the UTF-8 bytes of the text plus 1 (null: 1). Equal texts lie next to each other,
-    and only a group that a boundary falls into is split, by the hash of its ids. Each shard consists of
+    and only a group that a boundary falls into is split, by the hash of its ids, if its nearer end is further than a share ``whole`` of a shard. Each shard consists of
     ``ranges_per_shard`` ranges of the key (by default as many as make up the shuffle partitions),
     whose boundaries are found by counting; rows move once, into their range. slot numbers a shard's rows
     from 0 in key order; rows equal in text and id are in any order. Null ids are one id. An empty table
@@ -120,18 +124,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     keys = {"h": positive_hash(F.col(text_col), seed=31), "k": positive_hash(F.col(id_col), seed=32), "size": size}
     keyed = checkpointed(docs.select(*[c.alias(n) for n, c in keys.items()]))
-    per = min(ranges_per_shard or max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)), 128)
+    per = ranges_per_shard or max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     parts = shards * per
-    bits = max(STEP, (parts - 1).bit_length() + STEP)
+    bits = (parts - 1).bit_length() + min(STEP, max(1, (BINS // parts).bit_length() - 1))
     first = _bins(_counted(keyed, [F.lit(None).cast("long").alias("of"), F.shiftright("h", KEY_BITS - bits).alias("bin")]).collect(), bits)
     total = sum(b.bytes for b in first)
-    splitters = find_splitters(keyed, parts, total, first, tolerance) if first else [((0, 0), 0, 0)] * (parts - 1)
+    splitters = find_splitters(keyed, parts, total, first, tolerance, whole * total / shards) if first else [((0, 0), 0, 0)] * (parts - 1)
 
     # What a row needs to find its range: for its first-round bin, the splitters at or below the bin's start and those inside.
+    keys_below = sorted(s[0] for s in splitters)
     lookup = []
     for b in first:
-        start, end = b.start(), b.start(1)
-        lookup.append((b.prefix, sum(s[0] <= start for s in splitters), [s[0] for s in splitters if start < s[0] < end]))
+        at, end = bisect_right(keys_below, b.start()), bisect_left(keys_below, b.start(1))
+        lookup.append((b.prefix, at, keys_below[at:end]))
     bounds = F.broadcast(spark.createDataFrame(lookup, "_bin long, _base int, _inside array<struct<h:long,k:long>>"))
     rows_below = [0, *(s[2] for s in splitters)]
     ranges = F.broadcast(spark.createDataFrame([(i, i // per, rows_below[i] - rows_below[i // per * per]) for i in range(parts)], "_range int, shard int, _offset long"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, small_batches, table, words_of
+from .common import checkpointed, table, words_of
 from .components import connected_components
 
 BITS = 64
@@ -87,16 +87,26 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def near_links(prints: DataFrame, distance: int = 4, blocks: int = 7, few: int = 32, chunk: int = 1024) -> DataFrame:
+def blocks_for(nodes: int, distance: int, in_file: float = 4.0) -> int:
+    """The fewest blocks whose files hold ``in_file`` of ``nodes`` random fingerprints or fewer on average; any number finds the same links."""
+    blocks = distance + 2
+    while blocks < distance + 5 and nodes / 2.0 ** (BITS * (blocks - distance) / blocks) > in_file:
+        blocks += 1
+    return blocks
+
+
+def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None, few: int = 64, chunk: int = 1024) -> DataFrame:
     """Links ``a, b`` that connect whatever nodes have fingerprints of one view that differ in ``distance`` bits or fewer, directly or over others.
 
     ``prints`` has long columns ``node`` and ``fp`` and ``view``, distinct. Each fingerprint is filed under every
-    union of ``blocks - distance`` blocks, so a close pair meets at least once. Files of up to ``few``
+    union of ``blocks - distance`` blocks, so a close pair meets at least once; by default there are more blocks, and longer
+    unions of them, the more fingerprints there are, so that files stay short. Files of up to ``few``
     fingerprints are joined with themselves, and a pair counts in the first file that it shares. Larger
     files are dealt into chunks of about ``chunk``; every two chunks meet in a task of bounded size,
     which verifies them and gives the links of a spanning forest only. So no file gives all its
     pairs, and no connection is lost.
     """
+    blocks = blocks or blocks_for(prints.count(), distance)
     masks = block_masks(blocks)
     families = list(combinations(range(blocks), blocks - distance))
     fp = F.col("fp")
@@ -132,7 +142,7 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int = 7, few: int =
     return pairs.union(many.groupBy(*key, "i", "j").applyInPandas(verify, "a long, b long"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, blocks: int = 7) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, blocks: int | None = None) -> DataFrame:
     """``id, fp, component`` for each row of ``docs``, by SimHash fingerprints that link at ``distance`` bits.
 
     component is the smallest id that can be reached over links, the row's own included. Rows with a
@@ -140,7 +150,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a row; a null id is its own, and takes no part in the minimum unless all ids of its component are null.
     An empty table gives an empty result. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     marked = checkpointed(docs.select(F.col(id_col).cast("long").alias("id"), F.pandas_udf(_fingerprints, T.LongType())(F.col(text_col)).alias("fp")))
     groups = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("low")))
     linked = connected_components(near_links(groups.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("view")), distance, blocks))
@@ -156,30 +165,33 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, views: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id. Repeated rows of that id keep one row.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, views: int = 4, distance: int = 5, blocks: int | None = None) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id, then the smallest hash of its text; a null id comes last.
 
     Documents are linked if the fingerprints of ``width``-word shingles differ in ``distance`` bits or
     fewer in any of ``views`` views. One fingerprint misses many copies with a few changed words, as
     its distance scatters by several bits; several views of short shingles find nearly all of them.
-    Texts without a word share fingerprint 0 and form one group. Rows with a null id are kept as they
-    are; an empty table gives an empty one.
+    A document is a row's id and text, so unlike texts of one id are documents of their own, and rows that
+    repeat both are one, of which any stays. Texts without a word, null ones included, share fingerprint 0 and
+    form one group. Other columns are carried along; an empty table gives an empty one.
+
+    Groups are settled on ids and hashes; the texts move once, with repeated rows combined before.
     """
-    small_batches(docs.sparkSession)
 
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprints(t, width, views) for t in texts], dtype="object")
 
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.pandas_udf(prints, "array<long>")(F.col(text_col)).alias("fps"))
-    marked = checkpointed(known)
-    groups = checkpointed(marked.groupBy("fps").agg(F.min("id").alias("low")))
-    viewed = groups.select(F.col("low").alias("node"), F.posexplode("fps").alias("view", "fp")).distinct()
+    # No id equals the text of another; a null one, as a struct of null, equals itself.
+    own = [F.struct(F.col(id_col).cast("string").alias("id")).alias("_near_doc"), F.xxhash64(text_col).alias("_near_hash")]
+    marked = checkpointed(docs.select(*own, F.col(id_col).cast("long").alias("id"), F.pandas_udf(prints, "array<long>")(F.col(text_col)).alias("fps")))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_near_hash", "_near_doc"))
+    groups = checkpointed(marked.groupBy("fps").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    viewed = groups.select("node", F.posexplode("fps").alias("view", "fp")).distinct()
     linked = connected_components(near_links(viewed, distance, blocks))
-    labels = groups.join(linked, F.col("low") == F.col("node"), "left").select("fps", F.coalesce("component", "low").alias("component"))
-    losers = marked.join(labels, "fps").where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(losers, docs[id_col] == F.col("_gone"), "left_anti")
-    with_id = kept.where(F.col(id_col).isNotNull())
-    return with_id.dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    kept = groups.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first._near_doc").alias("_near_doc"), F.col("first._near_hash").alias("_near_hash"))
+    taken = [c for c in docs.columns if c not in ("_near_doc", "_near_hash")]
+    return docs.select(*taken, *own).dropDuplicates(["_near_doc", "_near_hash"]).join(kept, ["_near_doc", "_near_hash"], "left_semi").select(*taken)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

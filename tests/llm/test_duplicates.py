@@ -95,7 +95,7 @@ def test_links_lose_no_connection(spark):
     unsigned = np.array(values, np.int64).view(np.uint64)
     want = smallest_reachable([int(v) for v in unsigned], values, lambda a, b: (a ^ b).bit_count() <= 4)
     prints = spark.createDataFrame([(v, v, 0) for v in values], "node long, fp long, view int")
-    for few, chunk, blocks in ((32, 1024, 7), (3, 8, 7), (3, 8, 6), (10**6, 8, 5)):
+    for few, chunk, blocks in ((32, 1024, None), (3, 8, 7), (3, 8, 6), (10**6, 8, 5)):
         found = {r.node: r.component for r in connected_components(simhash.near_links(prints, blocks=blocks, few=few, chunk=chunk)).collect()}
         assert [found.get(v, v) for v in values] == want
 
@@ -131,11 +131,26 @@ def test_near_copies_go(spark):
 
 def test_near_copies_of_odd_rows(spark, odd, clashing, empty):
     kept = sorted(repr(r.doc_id) for r in simhash.drop_near_copies(odd).collect())
-    assert kept == sorted(["None", "None", "1", "4", "5", "7", "8", "9", *[str(100 + i) for i in range(60)]])
+    assert kept == sorted(["1", "4", "5", "7", "8", "9", *[str(100 + i) for i in range(60)]])
     assert simhash.drop_near_copies(clashing).columns == clashing.columns
     assert simhash.drop_near_copies(empty).count() == 0 and simhash.simhash_components(empty).count() == 0
 
 
+def test_unlike_texts_of_one_id_both_stay(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 100) for _ in range(3))
+    kept = lambda rows: sorted((repr(r.doc_id), r.text) for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept([(1, a), (5, a), (5, b)]) == sorted([("1", a), ("5", b)])
+    assert kept([(5, a), (5, b), (7, a), (9, b)]) == sorted([("5", a), ("5", b)])
+    assert kept([(5, a), (5, a), (5, a)]) == [("5", a)]
+    assert kept([(None, a), (None, a), (3, a), (None, b), (None, b), (None, c)]) == sorted([("3", a), ("None", b), ("None", c)])
+
+
+def test_more_fingerprints_more_blocks():
+    sizes = [simhash.blocks_for(n, 5) for n in (1, 10**6, 10**8, 10**10, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 7 and sizes[-1] > sizes[0]
+
+
 @pytest.mark.parametrize("text,want", [("a", "a"), ("A  b\tc", "a b c"), ("É x", "É x")])
 def test_short_texts_are_one_shingle(text, want):
     assert simhash.fingerprint(text) & (2**64 - 1) == xxhash.xxh64_intdigest(want.encode(), 42)
