@@ -16,8 +16,8 @@ from parchment.llm.simhash import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the forest keep."""
-    return quality_verdicts(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that the rules and the forest keep; short ones may be good, so only those without a word go for their length."""
+    return quality_verdicts(docs, table(spark, sf_dir, "labels"), least_words=1).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
