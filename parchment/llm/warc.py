@@ -12,7 +12,9 @@ PERMITTED = ("cache-control", "date", "etag", "expires", "last-modified", "vary"
 
 
 #: So many ids of matched responses are sent to all tasks; with more, responses and ids are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
+#: A response that more revisits have in common gets a copy of its body for each so many of them.
+REVISITS_PER_COPY = 2048
 
 
 def canonical_url(url: Column) -> Column:
@@ -71,11 +73,16 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     found = found.unionByName(undated.select("record_id", "url_key", "captured_at", F.lit(None).cast("long").alias("response_id"), F.lit("orphan").alias("status"), F.lit(None).cast("map<string,string>").alias("headers")))
 
     found = checkpointed(found)
-    wanted = found.where("status = 'resolved'").select(F.col("response_id").alias("record_id")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    bodies = records.where(F.col("kind") == "response").select("record_id", "payload").join(wanted, "record_id", "left_semi")
-    bodies = bodies.groupBy(F.col("record_id").alias("_id")).agg(F.max("payload").alias("payload"))
-    return found.join(bodies, (F.col("response_id") == F.col("_id")) & (F.col("status") == "resolved"), "left").drop("_id")
+    wanted = found.where("status = 'resolved'").groupBy(F.col("response_id").alias("record_id")).agg(F.ceil(F.count("*") / REVISITS_PER_COPY).cast("int").alias("_copies"))
+    wanted = checkpointed(wanted)
+    common = wanted.where("_copies > 1").select(F.col("record_id").alias("_common"), "_copies")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    bodies = records.where(F.col("kind") == "response").select("record_id", "payload").join(small(wanted), "record_id")
+    bodies = bodies.groupBy(F.col("record_id").alias("_id"), "_copies").agg(F.max("payload").alias("payload"))
+    bodies = bodies.select("_id", "payload", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    found = found.withColumn("_of", F.when(F.col("status") == "resolved", F.col("response_id"))).join(small(common), F.col("_of") == F.col("_common"), "left")
+    found = found.withColumn("_nth", F.pmod(F.xxhash64("record_id", "captured_at"), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_common", "_copies")
+    return found.join(bodies, (F.col("_of") == F.col("_id")) & (F.col("_nth") == F.col("_copy")), "left").drop("_id", "_of", "_nth", "_copy")
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:

@@ -227,6 +227,7 @@ def test_revisits_by_brute_force(spark, monkeypatch):
         got = {r.record_id: (r.response_id, r.status, r.headers, r.payload) for r in warc.resolve_revisits(records, spans=spans).collect()}
         assert got == want
     monkeypatch.setattr(warc, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(warc, "REVISITS_PER_COPY", 2)
     assert {r.record_id: r.payload for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()} == {k: v[3] for k, v in want.items()}
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
 
