@@ -26,11 +26,12 @@ HEAD = """<!DOCTYPE html>
 <meta name="viewport" content="width=device-width, initial-scale=1.0">
 <title>Scan</title>
 <style>
-body { margin: 0; padding: 2rem 1rem; background: #f4f4f5; font-family: sans-serif; }
-.page { position: relative; container-type: inline-size; overflow: hidden; box-sizing: border-box; width: 100%; max-width: 850px; margin: 0 auto 2rem; background: #fff; border: 1px solid #ddd; }
-.word { position: absolute; display: flex; align-items: center; white-space: nowrap; line-height: 1.1; }
-.empty { position: absolute; inset: 0; display: grid; place-items: center; font-size: 2cqw; }
-@media print { body { padding: 0; background: none; } .page { border: 0; margin: 0 auto; page-break-after: always; } }
+body { max-width: 60rem; margin: 1rem auto; color: black; background: whitesmoke; }
+.page { container-type: inline-size; position: relative; margin-block: 1.5rem; outline: thin solid silver; background: white; }
+.word { position: absolute; white-space: pre; line-height: 1; }
+.empty { padding-top: 40cqw; text-align: center; font-size: 3cqw; }
+@page { margin: 1cm; }
+@media print { body { max-width: none; margin: 0; } .page { break-after: page; outline: none; } }
 </style>
 </head>
 <body>
@@ -97,20 +98,33 @@ def _stream(head: str, body: bytes) -> bytes:
 
 
 def _text_layer(placed) -> bytes:
-    """Invisible text. A word that the standard font can't show is left out, and the others stay."""
+    """Invisible text. Words beyond the standard font's letters are written as UTF-16 in a font without glyphs, of which only the meaning of its codes is known."""
     out = [b"BT 3 Tr"]
     for p in placed:
         try:
-            letters = p["text"].encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+            font, letters = b"F1", b"(%s)" % p["text"].encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
         except UnicodeEncodeError:
-            continue
-        out.append(b"/F1 %.3f Tf 1 0 0 1 %.3f %.3f Tm (%s) Tj" % (p["size"], p["x"], p["y"], letters))
+            font, letters = b"F2", b"<%s>" % p["text"].encode("utf-16-be", "surrogatepass").hex().encode()
+        out.append(b"/%s %.3f Tf 1 0 0 1 %.3f %.3f Tm %s Tj" % (font, p["size"], p["x"], p["y"], letters))
     return b"\n".join([*out, b"ET"])
 
 
+def _unicode_font(at: int) -> list[bytes]:
+    """Four objects, numbered from ``at``: a font whose two-byte codes are UTF-16 units; it has no outlines, as its text is never drawn."""
+    ranges = [f"<{i:02x}00> <{i:02x}ff> <{i:02x}00>" for i in range(256)]
+    parts = "\n".join(f"{len(own)} beginbfrange\n" + "\n".join(own) + "\nendbfrange" for own in (ranges[i : i + 100] for i in range(0, 256, 100)))
+    meaning = f"/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapName /Units def /CMapType 2 def\n1 begincodespacerange <0000> <ffff> endcodespacerange\n{parts}\nendcmap CMapName currentdict /CMap defineresource pop end end"
+    return [
+        f"<< /Type /Font /Subtype /Type0 /BaseFont /Units /Encoding /Identity-H /DescendantFonts [{at + 1} 0 R] /ToUnicode {at + 3} 0 R >>".encode(),
+        f"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Units /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW 1000 /FontDescriptor {at + 2} 0 R >>".encode(),
+        b"<< /Type /FontDescriptor /FontName /Units /Flags 4 /FontBBox [0 -200 1000 800] /ItalicAngle 0 /Ascent 800 /Descent -200 /CapHeight 700 /StemV 80 >>",
+        _stream("", meaning.encode()),
+    ]
+
+
 def pdf_bytes(pages: list[dict]) -> bytes:
     """A PDF of pages with image, size and placed; a page is as large in points as its image in pixels."""
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", *_unicode_font(4)]
     kids = []
     for p in pages:
         w, h = p["size"]["width"], p["size"]["height"]
@@ -121,7 +135,7 @@ def pdf_bytes(pages: list[dict]) -> bytes:
         kind = "DeviceRGB" if pixels.shape[2] == 3 else "DeviceGray"
         objects.append(_stream(f"/Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{kind} /BitsPerComponent 8", pixels.tobytes()))
         objects.append(_stream("", f"q {w} 0 0 {h} 0 0 cm /I Do Q\n".encode() + _text_layer(p["placed"])))
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w} {h}] /Contents {n + 2} 0 R /Resources << /XObject << /I {n + 1} 0 R >> /Font << /F1 3 0 R >> >> >>".encode())
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w} {h}] /Contents {n + 2} 0 R /Resources << /XObject << /I {n + 1} 0 R >> /Font << /F1 3 0 R /F2 4 0 R >> >> >>".encode())
         kids.append(f"{n + 3} 0 R")
     objects[1] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] >>".encode()
     out, places = b"%PDF-1.5\n", []

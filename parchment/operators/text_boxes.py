@@ -35,8 +35,11 @@ def detector_tensor(image, w: int, h: int) -> np.ndarray:
     return scaled.transpose(2, 0, 1).astype(np.float32)[None]
 
 
-def _trace(mask: np.ndarray, start: tuple[int, int], backtrack: int) -> list[tuple[int, int]]:
-    """The border from ``start`` on, clockwise, neighbours first tried after direction ``backtrack``."""
+def _trace(mask: np.ndarray, start: tuple[int, int], backtrack: int, left: set, right: set) -> list[tuple[int, int]]:
+    """The border from ``start`` on, clockwise, neighbours first tried after direction ``backtrack``.
+
+    Pixels whose left or right neighbour was tried and is empty are added to ``left`` or ``right``: that side belongs to this border.
+    """
     border, here, came, first = [start], start, backtrack, None
     while True:
         for k in range(1, 9):
@@ -44,6 +47,10 @@ def _trace(mask: np.ndarray, start: tuple[int, int], backtrack: int) -> list[tup
             y, x = here[0] + _AROUND[d][0], here[1] + _AROUND[d][1]
             if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x]:
                 break
+            if d == 0:
+                left.add(here)
+            elif d == 4:
+                right.add(here)
         else:
             return border
         if first is None:
@@ -55,22 +62,19 @@ def _trace(mask: np.ndarray, start: tuple[int, int], backtrack: int) -> list[tup
 
 
 def contours(mask: np.ndarray) -> list[np.ndarray]:
-    """Outer borders of all areas, and borders around their holes, each as points (x, y)."""
-    found, seen = [], set()
+    """Outer borders of all areas, and borders around their holes, each as points (x, y).
+
+    A pixel may lie on several borders, as on both sides of a line of one pixel's width; each of its empty sides lies on one.
+    """
+    found, left, right = [], set(), set()
     padded = np.pad(mask, 1)[1:-1]
-    for y, x in np.argwhere(mask & ~padded[:, :-2]).tolist():  # nothing to the left: an outer border passes here
-        if (y, x, 0) not in seen:
-            line = _trace(mask, (y, x), 0)
-            seen.update((b, a, 0) for b, a in line if a == 0 or not mask[b, a - 1])
-            found.append(line)
-    inner, todo = [], np.argwhere(mask & ~padded[:, 2:]).tolist()
-    outer = {p for line in found for p in line}
-    for y, x in todo:  # nothing to the right, and on no outer border: a hole
-        if (y, x) not in outer and (y, x, 1) not in seen:
-            line = _trace(mask, (y, x), 4)
-            seen.update((b, a, 1) for b, a in line)
-            inner.append(line)
-    return [np.array([(x, y) for y, x in line], float) for line in found + inner]
+    for empty, side, direction in ((~padded[:, :-2], left, 0), (~padded[:, 2:], right, 4)):
+        for y, x in np.argwhere(mask & empty).tolist():
+            if (y, x) not in side:
+                line = _trace(mask, (y, x), direction, left, right)
+                side.add((y, x))
+                found.append(line)
+    return [np.array([(x, y) for y, x in line], float) for line in found]
 
 
 def _hull(points: np.ndarray) -> np.ndarray:

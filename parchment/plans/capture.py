@@ -104,11 +104,11 @@ fold AS (SELECT DISTINCT session, 0::BIGINT AS n, 'scan' AS step, []::BIGINT[] A
   FROM fold f JOIN numbered e ON e.session = f.session AND e.n = f.n + 1)"""
 
 
-@query(f"""{_SESSION}, ends AS (SELECT session, max(n) AS n FROM fold GROUP BY session) SELECT session, step, array_to_string(pages, ',') AS pages, array_to_string(modes, ',') AS modes, array_to_string(list_transform(ocr, lambda o: o.p::VARCHAR || '=' || o.t), ',') AS ocr, export_mode, current_mode, has_image, is_warped, failed AS ocr_failed
+@query(f"""{_SESSION}, ends AS (SELECT session, max(n) AS n FROM fold GROUP BY session) SELECT session, step, array_to_string(pages, ',') AS pages, array_to_string(modes, ',') AS modes, md5(array_to_string(list_transform(ocr, lambda o: o.p::VARCHAR || '=' || o.t), ',')) AS ocr_md5, export_mode, current_mode, has_image, is_warped, failed AS ocr_failed
 FROM fold JOIN ends USING (session, n)""")
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session after its last event."""
     s = sessions.fold_sessions(scan_events(spark, sf_dir))
     entries = F.transform(F.array_sort(F.map_entries("ocr")), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"]))
     joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
-    return s.select("session", "step", joined("pages").alias("pages"), joined("modes").alias("modes"), joined(entries).alias("ocr"), "export_mode", "current_mode", "has_image", "is_warped", F.col("ocr_error").isNotNull().alias("ocr_failed"))
+    return s.select("session", "step", joined("pages").alias("pages"), joined("modes").alias("modes"), F.md5(joined(entries)).alias("ocr_md5"), "export_mode", "current_mode", "has_image", "is_warped", F.col("ocr_error").isNotNull().alias("ocr_failed"))

@@ -68,13 +68,13 @@ def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), stamp.alias("stamp"), name.alias("page_file"), naming.document_file_name(stamp, "pdf").alias("pdf_file"))
 
 
-@query("""SELECT conv_id AS session, string_agg(text, chr(10) || chr(10) || '--- ページ区切り ---' || chr(10) || chr(10) ORDER BY turn) FILTER (turn % 3 <> 1) AS text,
-  count(*)::VARCHAR || ':' || string_agg(length(text)::VARCHAR, ',' ORDER BY turn) || ':' || coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (turn % 3 <> 1), '') AS export_key FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id AS session, string_agg(text, chr(10) || chr(10) || '--- ページ区切り ---' || chr(10) || chr(10) ORDER BY turn) AS text,
+  count(*)::VARCHAR || ':' || string_agg(coalesce(length(text), 0)::VARCHAR, ',' ORDER BY turn) || ':' || coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (text IS NOT NULL), '') AS export_key FROM conversations GROUP BY conv_id""")
 def copied_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session's text with page breaks, and the key that tells whether an export is out of date."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "text")
-    numbered = sessions.page_indexes(c).select("session", "page", F.col("seq"), F.length("text").alias("n"))
-    ocr = c.where("seq % 3 <> 1").select("session", F.col("seq").cast("int").alias("page"), "text")
+    numbered = sessions.page_indexes(c).select("session", "page", F.col("seq"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    ocr = c.where("text is not null").select("session", F.col("seq").cast("int").alias("page"), "text")
     paired = sessions.pages_with_text(numbered.withColumn("page", F.col("seq").cast("int")), ocr)
     rows = F.array_sort(F.collect_list(F.struct("page", "n", F.col("text").isNotNull().alias("has"))))
     keys = paired.groupBy("session").agg(rows.alias("r"))
@@ -92,7 +92,7 @@ _WORD = (
     + " || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') || '</div>' || chr(10)"
 )
 _NUMBER = "rtrim(rtrim({0}::DECIMAL(20,6)::VARCHAR, '0'), '.')"
-_HTML = f"""WITH {WORDS_SQL}, known AS (SELECT *, coalesce(nullif(page_w, 0), 1200) AS w, coalesce(nullif(page_h, 0), 1697) AS h FROM ocr_words WHERE (session + page) % 7 <> 6),
+_HTML = f"""WITH {WORDS_SQL}, known AS (SELECT *, coalesce(nullif(page_w, 0), 1200) AS w, coalesce(nullif(page_h, 0), 1697) AS h FROM ocr_words),
 drawn AS (SELECT session, page, any_value(w) AS w, any_value(h) AS h, coalesce(string_agg({_WORD}, '' ORDER BY word_no) FILTER (regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''), '') AS body FROM known GROUP BY session, page),
 shown AS (SELECT c.conv_id AS session, c.turn::INT AS page, '<!-- ' || (c.turn + 1) || ' -->' || chr(10) || '<div class="page" style="aspect-ratio: ' || {_NUMBER.format("coalesce(w, 1200)")} || ' / ' || {_NUMBER.format("coalesce(h, 1697)")} || ';">' || chr(10) || coalesce(body, '<div class="empty">{exports.NO_TEXT}</div>' || chr(10)) || '</div>' || chr(10) AS part FROM conversations c LEFT JOIN drawn d ON d.session = c.conv_id AND d.page = c.turn)
 """
@@ -127,6 +127,6 @@ def pdf_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A PDF for each session: images with a text layer."""
     small = _images(spark, sf_dir).withColumnRenamed("image_id", "_i")
-    p = word_pages(spark, sf_dir).withColumn("_i", (F.col("session") * 31 + F.col("page")) % 500)
+    p = word_pages(spark, sf_dir).withColumn("_i", (F.col("session") * 31 + F.col("page")) % small.count())
     done = exports.pdf_documents(p.join(small, "_i"))
     return done.select("session", F.octet_length("pdf").alias("bytes"), F.sha2("pdf", 256).alias("sha256"))

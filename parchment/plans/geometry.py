@@ -150,7 +150,7 @@ def crop_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("px")[0]
     shown = g.to_display(p, iw, ih, dw, dh)
     moved = g.move_corner(F.col("px"), F.lit(0), g.point(p["x"] * 0.6, p["y"] * 0.6), iw, ih, dw, dh)[0]
-    inside = F.least(F.greatest(F.lit(0.0), p["x"]), iw)
+    inside = g.clamp_corners(F.array(p, p, p, p), iw, ih)[0]["x"]
     zoom = g.zoom_level((1 + F.col("q") % 5).cast("double"))
     size = g.contained_size(iw, ih, dw, dh, zoom)
     pan = g.bounded_pan(g.point(p["x"] - 320, p["y"]), size, dw, dh)

@@ -86,23 +86,23 @@ CTC_SQL = """ctc AS (SELECT vec_id AS seq_id, (i // 8)::INT AS t, (i % 8)::INT A
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A camera frame for each event, 33 ms apart with a pause after every twentieth; sessions are users."""
+    """A camera frame for each event, 33 ms apart with a pause after every twentieth and one of 40 seconds after every fortieth; sessions are users. Now and then no model is ready."""
     e = table(spark, sf_dir, "events")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     k = F.get_json_object("props", "$.k").cast("double")
     i = F.col("event_id")
-    outcome = F.when(i % 101 == 0, "reset").when(i % 211 == 1, "hidden").when(i % 53 == 1, "wake").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "miss").otherwise("hit")
+    outcome = F.when(i % 97 == 5, "unready").when(i % 101 == 0, "reset").when(i % 211 == 1, "hidden").when(i % 53 == 1, "wake").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "miss").otherwise("hit")
     shift = (i * 7919 % 41 - 20 + F.when(i % 7 == 0, 150).otherwise(0)).cast("double")
     skew = F.when(i % 11 == 0, 90.0).otherwise(0.0)
     box = g.quad((64 + shift, 48 + shift / 2), (400 + shift, 48 + shift / 2 + skew), (400 + shift, 400 + shift / 2), (64 + shift, 400 + shift / 2))
     own = e.withColumn("seq", n)
-    return own.select(F.col("user_id").alias("session"), "seq", (F.col("seq") * 33 + F.floor(F.col("seq") / 20) * 900).cast("double").alias("frame_ms"), outcome.alias("outcome"), box.alias("quad"), F.lit(640.0).alias("w"), F.lit(480.0).alias("h"), (F.col("value") * 10).alias("focus"), (40 + 1.5 * k).alias("luma"), ((99 - k) / 150).alias("dark"))
+    return own.select(F.col("user_id").alias("session"), "seq", (F.col("seq") * 33 + F.floor(F.col("seq") / 20) * 900 + F.floor(F.col("seq") / 40) * 40000).cast("double").alias("frame_ms"), outcome.alias("outcome"), box.alias("quad"), F.lit(640.0).alias("w"), F.lit(480.0).alias("h"), (F.col("value") * 10).alias("focus"), (40 + 1.5 * k).alias("luma"), ((99 - k) / 150).alias("dark"))
 
 
 FRAMES_SQL = """numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, json_extract_string(props, '$.k')::DOUBLE AS k,
     (event_id * 7919 % 41 - 20 + CASE WHEN event_id % 7 = 0 THEN 150 ELSE 0 END)::DOUBLE AS d, CASE WHEN event_id % 11 = 0 THEN 90.0::DOUBLE ELSE 0.0::DOUBLE END AS skew FROM events),
-frames AS (SELECT user_id AS session, n AS seq, (n * 33 + n // 20 * 900)::DOUBLE AS frame_ms,
-    CASE WHEN event_id % 101 = 0 THEN 'reset' WHEN event_id % 211 = 1 THEN 'hidden' WHEN event_id % 53 = 1 THEN 'wake' WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'miss' ELSE 'hit' END AS outcome,
+frames AS (SELECT user_id AS session, n AS seq, (n * 33 + n // 20 * 900 + n // 40 * 40000)::DOUBLE AS frame_ms,
+    CASE WHEN event_id % 97 = 5 THEN 'unready' WHEN event_id % 101 = 0 THEN 'reset' WHEN event_id % 211 = 1 THEN 'hidden' WHEN event_id % 53 = 1 THEN 'wake' WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'miss' ELSE 'hit' END AS outcome,
     [64 + d, 48 + d / 2, 400 + d, 48 + d / 2 + skew, 400 + d, 400 + d / 2, 64 + d, 400 + d / 2] AS quad, value * 10 AS focus, 40 + 1.5::DOUBLE * k AS luma, (99 - k) / 150 AS dark FROM numbered)"""
 
 
@@ -112,12 +112,12 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("turn") + F.col("conv_id") % 5
     action = F.when(t % 3 == 0, "capture").when(t % 11 == 10, "start_new_scan").when(t % 7 == 5, "back_to_edit").when(t % 13 == 7, "cancel_edit").when(t % 17 == 8, "back_to_scanner").otherwise("save_page")
     mode = F.element_at(F.array(*[F.lit(m) for m in ("color_enhanced", "color_original", "document_enhanced", "document_original")]), (F.col("turn") % 4 + 1).cast("int"))
-    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), action.alias("action"), mode.alias("mode"), (F.col("turn") % 2 == 1).alias("enable_ocr"), F.when(t % 4 != 1, F.substring("text", 1, 20)).alias("ocr_text"))
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), action.alias("action"), mode.alias("mode"), (F.col("turn") % 2 == 1).alias("enable_ocr"), F.when(t % 4 != 1, F.col("text")).alias("ocr_text"))
 
 
 SCAN_EVENTS_SQL = """scan_events AS (SELECT conv_id AS session, turn AS seq,
     CASE WHEN t % 3 = 0 THEN 'capture' WHEN t % 11 = 10 THEN 'start_new_scan' WHEN t % 7 = 5 THEN 'back_to_edit' WHEN t % 13 = 7 THEN 'cancel_edit' WHEN t % 17 = 8 THEN 'back_to_scanner' ELSE 'save_page' END AS action,
-    ['color_enhanced', 'color_original', 'document_enhanced', 'document_original'][turn % 4 + 1] AS mode, turn % 2 = 1 AS enable_ocr, CASE WHEN t % 4 <> 1 THEN substr(text, 1, 20) END AS ocr_text
+    ['color_enhanced', 'color_original', 'document_enhanced', 'document_original'][turn % 4 + 1] AS mode, turn % 2 = 1 AS enable_ocr, CASE WHEN t % 4 <> 1 THEN text END AS ocr_text
     FROM (SELECT *, turn + conv_id % 5 AS t FROM conversations))"""
 
 
@@ -137,8 +137,8 @@ ocr_words AS (SELECT conv_id AS session, turn::INT AS page, i::INT AS word_no, w
 
 
 def word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, page, words, width, height; every seventh page has no recognised text."""
-    w = ocr_words(spark, sf_dir).where("(session + page) % 7 <> 6")
+    """session, page, words, width, height; a turn without a text is a page where nothing was recognised."""
+    w = ocr_words(spark, sf_dir)
     bbox = F.struct("x0", "y0", "x1", "y1")
     words = F.transform(F.array_sort(F.collect_list(F.struct("word_no", F.struct("text", "confidence", bbox.alias("bbox")).alias("word")))), lambda s: s["word"])
     known = w.groupBy("session", "page").agg(words.alias("words"), F.max("page_w").alias("width"), F.max("page_h").alias("height"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
-from math import hypot
+from math import hypot, nan
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -185,7 +185,8 @@ def detect_stream(frames: DataFrame, delay: str = "2 seconds") -> DataFrame:
         kept["waiting"] = [f for f in kept["waiting"] if f["frame_ms"] > mark]
         scanner, rows = Scanner(**kept["scanner"]), []
         for f in ready:
-            f = pd.Series(f)
+            # JSON has no NaN; a missing number is one in a batch.
+            f = pd.Series(f | {c: nan for c in ("w", "h", "focus", "luma", "dark") if f[c] is None})
             rows.append((f.session, f.seq, f.frame_ms, *scanner.step(f)))
         kept["scanner"] = asdict(scanner)
         state.update((json.dumps(kept),))

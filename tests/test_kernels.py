@@ -120,6 +120,21 @@ def test_data_urls(spark):
     assert r["u"] == "data:image/png;base64,AQI=" and bytes(r["d"]["content"]) == b"\x01\x02" and r["n"] is None
 
 
+def test_contours_of_thin_lines():
+    ring = np.zeros((8, 8), bool)
+    ring[1:7, 1:7] = True
+    ring[2:6, 2:6] = False
+    assert sorted(len(c) for c in text_boxes.contours(ring)) == [16, 20]  # both sides of a ring of one pixel's width; corners touch the hole at no side
+    two = ring.copy()
+    two[3, 1:7] = True
+    assert len(text_boxes.contours(two)) == 3
+    line = np.zeros((5, 9), bool)
+    line[2, 1:8] = True
+    assert len(text_boxes.contours(line)) == 1 and len(text_boxes.contours(line.T)) == 1
+    diagonal = np.eye(6, dtype=bool)
+    assert len(text_boxes.contours(diagonal)) == 1 and len(text_boxes.contours(diagonal[::-1])) == 1
+
+
 def test_contours_of_a_frame():
     mask = np.zeros((12, 14), bool)
     mask[2:10, 2:12] = True
@@ -244,3 +259,19 @@ def test_fallback_corners(spark):
     assert got[1].page == got[1].corners and got[2].page == got[3].page == got[6].page != got[1].page
     same = df.select("k", corners.with_fallback(corners.detected(F.col("pts"), F.col("logit"), F.col("w"), F.col("h")), F.col("w"), F.col("h")).alias("p")).collect()
     assert {r.k: r.p for r in same} == {k: r.page for k, r in got.items()}
+
+
+def test_pdf_text_of_any_script():
+    import re
+    import zlib
+
+    from parchment.operators import exports
+
+    image = {"height": 2, "width": 2, "channels": 1, "data": bytes(4)}
+    placed = [{"text": t, "x": 1.0, "y": 2.0, "size": 4.0} for t in ("plain (word)", "日本語の文字", "emoji 😀")]
+    pdf = exports.pdf_bytes([{"image": image, "size": {"width": 2, "height": 2}, "placed": placed}])
+    streams = [zlib.decompress(m) for m in re.findall(rb"stream\n(.*?)\nendstream", pdf, re.S)]
+    layer = next(s for s in streams if b"BT 3 Tr" in s)
+    found = [bytes.fromhex(h.decode()).decode("utf-16-be") for h in re.findall(rb"/F2 [^<]*<([0-9a-f]+)> Tj", layer)]
+    assert found == ["日本語の文字", "emoji 😀"] and rb"(plain \(word\)) Tj" in layer
+    assert b"/Identity-H" in pdf and any(b"<6500> <65ff> <6500>" in s for s in streams)

@@ -65,6 +65,7 @@ def test_empty_input(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     frames = inputs.frames(spark, "/root/testdata/sf0.001").where("session < 3 or session = 5")
+    frames = frames.withColumns({c: F.when(F.col("seq") % n != 3, F.col(c)) for c, n in (("focus", 7), ("luma", 9), ("dark", 11), ("w", 13))})
     want = sorted(json.dumps(r.asDict(recursive=True), default=str, sort_keys=True) for r in d.detect_frames(frames).collect())
     rows = frames.select(*d.FRAME_COLUMNS).orderBy(F.xxhash64("session", "seq")).collect()
     closing = frame(10**6, 10.0**7, session=999)
