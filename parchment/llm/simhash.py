@@ -87,7 +87,7 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def blocks_for(nodes: int, distance: int, in_file: float = 4.0) -> int:
+def blocks_for(nodes: int, distance: int, in_file: float = 0.1) -> int:
     """The fewest blocks whose files hold ``in_file`` of ``nodes`` random fingerprints or fewer on average; any number finds the same links."""
     blocks = distance + 2
     while blocks < distance + 5 and nodes / 2.0 ** (BITS * (blocks - distance) / blocks) > in_file:
@@ -95,7 +95,7 @@ def blocks_for(nodes: int, distance: int, in_file: float = 4.0) -> int:
     return blocks
 
 
-def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None, few: int = 64, chunk: int = 1024) -> DataFrame:
+def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None, few: int = 32, chunk: int = 1024) -> DataFrame:
     """Links ``a, b`` that connect whatever nodes have fingerprints of one view that differ in ``distance`` bits or fewer, directly or over others.
 
     ``prints`` has long columns ``node`` and ``fp`` and ``view``, distinct. Each fingerprint is filed under every
