@@ -106,7 +106,7 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
     which verifies them and gives the links of a spanning forest only. So no file gives all its
     pairs, and no connection is lost.
     """
-    blocks = blocks or blocks_for(prints.count(), distance)
+    blocks = blocks or blocks_for(prints.where("view = 0").count(), distance)
     masks = block_masks(blocks)
     families = list(combinations(range(blocks), blocks - distance))
     fp = F.col("fp")
@@ -165,7 +165,7 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, views: int = 4, distance: int = 5, blocks: int | None = None) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, views: int = 8, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id, then the smallest hash of its text; a null id comes last.
 
     Documents are linked if the fingerprints of ``width``-word shingles differ in ``distance`` bits or
