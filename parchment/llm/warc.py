@@ -78,8 +78,9 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     common = wanted.where("_copies > 1").select(F.col("record_id").alias("_common"), "_copies")
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     bodies = records.where(F.col("kind") == "response").select("record_id", "payload").join(small(wanted), "record_id")
-    bodies = bodies.groupBy(F.col("record_id").alias("_id"), "_copies").agg(F.max("payload").alias("payload"))
-    bodies = bodies.select("_id", "payload", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    # Copied before they are grouped, so that the join finds bodies where the grouping put them and they move once.
+    bodies = bodies.select(F.col("record_id").alias("_id"), "payload", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    bodies = bodies.groupBy("_id", "_copy").agg(F.max("payload").alias("payload"))
     found = found.withColumn("_of", F.when(F.col("status") == "resolved", F.col("response_id"))).join(small(common), F.col("_of") == F.col("_common"), "left")
     found = found.withColumn("_nth", F.pmod(F.xxhash64("record_id", "captured_at"), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_common", "_copies")
     return found.join(bodies, (F.col("_of") == F.col("_id")) & (F.col("_nth") == F.col("_copy")), "left").drop("_id", "_of", "_nth", "_copy")
