@@ -81,9 +81,12 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     # Copied before they are grouped, so that the join finds bodies where the grouping put them and they move once.
     bodies = bodies.select(F.col("record_id").alias("_id"), "payload", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
     bodies = bodies.groupBy("_id", "_copy").agg(F.max("payload").alias("payload"))
-    found = found.withColumn("_of", F.when(F.col("status") == "resolved", F.col("response_id"))).join(small(common), F.col("_of") == F.col("_common"), "left")
-    found = found.withColumn("_nth", F.pmod(F.xxhash64("record_id", "captured_at"), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_common", "_copies")
-    return found.join(bodies, (F.col("_of") == F.col("_id")) & (F.col("_nth") == F.col("_copy")), "left").drop("_id", "_of", "_nth", "_copy")
+    # Only resolved revisits are joined: the others have no body to fetch, and would all meet in the task of the null key.
+    resolved = found.where("status = 'resolved'").join(small(common), F.col("response_id") == F.col("_common"), "left")
+    resolved = resolved.withColumn("_nth", F.pmod(F.xxhash64("record_id", "captured_at"), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_common", "_copies")
+    resolved = resolved.join(bodies, (F.col("response_id") == F.col("_id")) & (F.col("_nth") == F.col("_copy")), "left").drop("_id", "_nth", "_copy")
+    others = found.where("status <> 'resolved'").withColumn("payload", F.lit(None).cast(records.schema["payload"].dataType))
+    return resolved.unionByName(others)
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
