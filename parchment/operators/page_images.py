@@ -151,7 +151,7 @@ def sharpened_for_ocr(pixels: np.ndarray) -> np.ndarray:
     v = gray(pixels).astype(np.float64)
     side = np.exp(-0.5)
     line = np.array([side, 1, side]) / (1 + 2 * side)
-    p = np.pad(v, 1, mode="reflect" if min(v.shape) > 1 else "edge")
+    p = np.pad(v, 1, mode="reflect")
     blur = to_u8(np.lib.stride_tricks.sliding_window_view(p, (3, 3)).transpose(0, 1, 3, 2) @ line @ line)
     return to_u8(1.3 * v - 0.3 * blur)
 
@@ -161,21 +161,38 @@ def rotated(pixels: np.ndarray, degrees: int) -> np.ndarray:
     return np.rot90(pixels, -(degrees // 90)) if degrees in (90, 180, 270) else pixels
 
 
-def _each(images: DataFrame, work: Callable[[pd.Series], dict | None], inputs: list[str], id_col: str, out: str) -> DataFrame:
-    """id and ``out`` for each row; null where ``work`` gives none or fails, so one bad image doesn't end the job."""
+def _each(images: DataFrame, work: Callable[[pd.Series], dict | None], inputs: list[str], id_col: str, out: str, encode: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """id and ``out`` for each row; null where ``work`` gives none or fails, so one bad image doesn't end the job.
+
+    With ``encode`` also content and error: the bytes of the result, made in the same pass, or why there are none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = []
+            done, files = [], []
             for row in pdf[inputs].to_dict("records"):
+                image, error = None, "no image"
                 try:
-                    done.append(work(row))
-                except (ValueError, KeyError, TypeError, np.linalg.LinAlgError):
-                    done.append(None)
-            yield pd.DataFrame({id_col: pdf[id_col], out: pd.Series(done, dtype="object", index=pdf.index)})
+                    image = work(row)
+                except (ValueError, KeyError, TypeError, np.linalg.LinAlgError) as e:
+                    error = f"{type(e).__name__}: {e}"[:200]
+                done.append(image)
+                if encode:
+                    files.append(_encoded(image, encode) if image else (None, error))
+            found = {id_col: pdf[id_col], out: pd.Series(done, dtype="object", index=pdf.index)}
+            for i, name in enumerate(("content", "error") if encode else ()):
+                found[name] = pd.Series([f[i] for f in files], dtype="object", index=pdf.index)
+            yield pd.DataFrame(found)
 
     kind = images.schema[id_col].dataType.simpleString()
-    return images.select(id_col, *inputs).mapInPandas(run, f"`{id_col}` {kind}, `{out}` {IMAGE}")
+    return images.select(id_col, *inputs).mapInPandas(run, f"`{id_col}` {kind}, `{out}` {IMAGE}" + (", content binary, error string" if encode else ""))
+
+
+def _encoded(image: dict, encode: Callable[[np.ndarray], bytes]) -> tuple[bytes | None, str | None]:
+    try:
+        return encode(as_array(image)), None
+    except (KeyError, ValueError, TypeError) as e:
+        return None, f"{type(e).__name__}: {e}"[:200]
 
 
 def filter_images(images: DataFrame, id_col: str = "image_id", image_col: str = "image", mode_col: str = "mode") -> DataFrame:
@@ -184,8 +201,8 @@ def filter_images(images: DataFrame, id_col: str = "image_id", image_col: str =
     return _each(images, work, [image_col, mode_col], id_col, "filtered")
 
 
-def rectify(images: DataFrame, id_col: str = "image_id", image_col: str = "image", corners_col: str = "corners", size_col: str = "page_size", mode_col: str | None = "mode", rotation_col: str | None = "rotation") -> DataFrame:
-    """id and page: rectified to the size in ``size_col``, filtered and turned, in one pass.
+def rectify(images: DataFrame, id_col: str = "image_id", image_col: str = "image", corners_col: str = "corners", size_col: str = "page_size", mode_col: str | None = "mode", rotation_col: str | None = "rotation", encode: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """id and page: rectified to the size in ``size_col``, filtered and turned, in one pass; with ``encode`` also content and error.
 
     The corners have to be in order (functions.geometry.sort_corners). Null without four of them or without pixels.
     """
@@ -199,7 +216,7 @@ def rectify(images: DataFrame, id_col: str = "image_id", image_col: str = "image
         page = FILTERS[r[mode_col]](page) if mode_col else page
         return as_image(rotated(page, int(r[rotation_col]) if rotation_col else 0))
 
-    return _each(images, work, inputs, id_col, "page")
+    return _each(images, work, inputs, id_col, "page", encode)
 
 
 def resize_images(images: DataFrame, size_col: str = "size", id_col: str = "image_id", image_col: str = "image") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import page_images, pixels, text_boxes, text_lines
-from ..sources.images import encoded
+from ..sources.images import png_bytes
 from .inputs import GRAY_SQL, RGBA_SQL, gray_pixels, quads, rgba_pixels, table
 from .registry import query
 
@@ -46,6 +46,33 @@ def rotated_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return right.unionByName(left).select("turn", "image_id", "y", "x", "v")
 
 
+def _sql_smoothed(size: int, place: str) -> str:
+    """CTEs from gray_px to smooth: sums of weighted neighbours along each row, then along each column, of 8x8 images."""
+    line = ", ".join(f"{w!r}e0" for w in pixels.gaussian_line(size))
+    weights = f"weights AS (SELECT (i - {size // 2})::INT AS d, list_value({line})[i + 1] AS weight FROM range({size}) r(i))"
+    rows = f"across AS (SELECT p.image_id, p.y, p.x, sum(n.v * weight) AS m FROM gray_px p, weights JOIN gray_px n ON n.image_id = p.image_id AND n.y = p.y AND n.x = {place.format('p.x + d')} GROUP BY ALL)"
+    columns = f"smooth AS (SELECT p.image_id, p.y, p.x, round_even(sum(n.m * weight), 0)::INT AS blur FROM across p, weights JOIN across n ON n.image_id = p.image_id AND n.x = p.x AND n.y = {place.format('p.y + d')} GROUP BY p.image_id, p.y, p.x)"
+    return f"{weights}, {rows}, {columns}"
+
+
+@query(f"""WITH {GRAY_SQL}, {_sql_smoothed(3, "(7 - abs(7 - abs({})))")} SELECT image_id, y, x, least(255, greatest(0, round_even(1.3::DOUBLE * v - 0.3::DOUBLE * blur, 0)))::INT AS v FROM gray_px JOIN smooth USING (image_id, y, x)""")
+def sharpened_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gray image sharpened for recognition."""
+    return pixels.sharpened_for_ocr(gray_pixels(spark, sf_dir)).select("image_id", "y", "x", "v")
+
+
+@query(f"""WITH {GRAY_SQL}, {_sql_smoothed(15, "least(7, greatest(0, {}))")} SELECT image_id, y, x, CASE WHEN v > blur - 10 THEN 255 ELSE 0 END AS v FROM gray_px JOIN smooth USING (image_id, y, x)""")
+def monochrome_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gray image in black and white, by each pixel's neighbourhood."""
+    return pixels.monochrome(gray_pixels(spark, sf_dir)).select("image_id", "y", "x", "v")
+
+
+@query(f"WITH {GRAY_SQL} SELECT p.image_id, p.y, p.x, max(n.v)::INT AS v FROM gray_px p JOIN gray_px n ON n.image_id = p.image_id AND abs(n.x - p.x) <= 2 AND abs(n.y - p.y) <= 2 GROUP BY p.image_id, p.y, p.x")
+def paper_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brightest of each pixel's 5x5 neighbourhood: paper without thin strokes."""
+    return pixels.brightest(gray_pixels(spark, sf_dir), 5).select("image_id", "y", "x", "v")
+
+
 _HSV = "hsv AS (SELECT *, greatest(r, g, b) AS top, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE round_even((greatest(r, g, b) - least(r, g, b)) * 255.0::DOUBLE / greatest(r, g, b, 1), 0)::INT END AS s, round_even(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE, 0)::INT AS gray FROM rgba_px)"
 
 
@@ -82,8 +109,8 @@ def rectified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = ["color_enhanced", "color_original", "document_enhanced", "document_original", "mono"]
     mode = F.element_at(F.array(*[F.lit(m) for m in modes]), (F.col("image_id") % 5 + 1).cast("int"))
     ready = _images(spark, sf_dir).join(q, "image_id").withColumns({"page_size": g.page_size(F.col("corners")), "mode": mode, "rotation": (F.col("image_id") % 4 * 90).cast("int")})
-    done = page_images.rectify(ready).withColumn("png", encoded(F.col("page")))
-    return done.select("image_id", "page.width", "page.height", "page.channels", F.sha2("page.data", 256).alias("sha256"), F.octet_length("png.content").alias("png_bytes"), "png.error")
+    done = page_images.rectify(ready, encode=png_bytes)
+    return done.select("image_id", "page.width", "page.height", "page.channels", F.sha2("page.data", 256).alias("sha256"), F.octet_length("content").alias("png_bytes"), "error")
 
 
 @query()

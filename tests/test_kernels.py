@@ -96,6 +96,37 @@ def test_failed_images_do_not_end_the_job(spark):
     assert [r["page"] for r in page_images.rectify(df).collect()] == [None] * 3
 
 
+def test_pages_are_encoded_in_the_same_pass(spark):
+    corners = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]
+    rows = [(1, image(np.full((3, 4, 3), 9)), corners, (4, 3), "color_original", 0), (2, None, corners, (4, 3), "mono", 0)]
+    df = spark.createDataFrame(rows, f"image_id long, image {page_images.IMAGE}, corners array<struct<x:double,y:double>>, page_size struct<width:int,height:int>, mode string, rotation int")
+    good, bad = sorted(page_images.rectify(df, encode=sources.png_bytes).collect())
+    assert bytes(good["content"]) == sources.png_bytes(page_images.as_array(good["page"])) and good["error"] is None
+    assert bad["content"] is None and bad["error"] == "no image"
+
+    def broken(pixels):
+        raise ValueError("no encoder")
+
+    assert [r["error"] for r in sorted(page_images.rectify(df, encode=broken).collect())] == ["ValueError: no encoder", "no image"]
+
+
+@pytest.mark.parametrize("shape", [(6, 9), (1, 5), (20, 3), (1, 1)])
+def test_stencils_on_tables_of_pixels_equal_the_packed_kernels(spark, shape):
+    v = np.random.default_rng(sum(shape)).integers(0, 256, shape).astype(np.uint8)
+    px = spark.createDataFrame([(0, y, x, int(v[y, x])) for y in range(shape[0]) for x in range(shape[1])], "image_id int, y int, x int, v int")
+
+    def of(table):
+        out = np.zeros(shape, np.uint8)
+        for r in table.collect():
+            out[r["y"], r["x"]] = r["v"]
+        return out.tolist()
+
+    assert of(pixels.sharpened_for_ocr(px)) == page_images.sharpened_for_ocr(v).tolist()
+    assert of(pixels.monochrome(px)) == page_images.monochrome(v).tolist()
+    padded = np.pad(v, 2)
+    assert of(pixels.brightest(px, 5)) == [[int(padded[y : y + 5, x : x + 5].max()) for x in range(shape[1])] for y in range(shape[0])]
+
+
 def test_png_round_trip(spark):
     a = np.random.default_rng(4).integers(0, 256, (3, 5, 3)).astype(np.uint8)
     png = sources.png_bytes(a)
