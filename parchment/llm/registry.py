@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op12_bpe
 from .decontamination import op9_decontamination
+from .divergence import OP11_SQL, op11_source_divergence
 from .language_id import op10_language_id
 from .mixing import op5_mixing_sources
+from .periodic import op13_periodic_runs
 from .pii import op6_pii
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op2_quality_rules
@@ -26,6 +29,9 @@ QUERIES = {
         op8_warc_revisits,
         op9_decontamination,
         op10_language_id,
+        op11_source_divergence,
+        op12_bpe,
+        op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op8_warc_revisits": OP8_SQL}
+ORACLE_SQL = {"op8_warc_revisits": OP8_SQL, "op11_source_divergence": OP11_SQL}
