@@ -212,3 +212,57 @@ def bounded_pan(p: Column, shown: Column, box_w: Column, box_h: Column) -> Colum
 
 def zoom_level(zoom: Column) -> Column:
     return clamp(zoom, *ZOOM)
+
+
+def square_to_quad(q: Column) -> Column:
+    """struct(a, b, c, d, e, f, g, h): (u, v) of the unit square to ((a u + b v + c) / s, (d u + e v + f) / s) with s = g u + h v + 1.
+
+    (0, 0), (1, 0), (1, 1), (0, 1) go to the quad's points in their order. Null unless there are four points, no three of them in a line.
+    """
+
+    def solved(p: Column) -> Column:
+        (x0, y0), (x1, y1), (x2, y2), (x3, y3) = ((at(p, i)["x"], at(p, i)["y"]) for i in range(4))
+        sides = F.struct((x1 - x2).alias("ax"), (y1 - y2).alias("ay"), (x3 - x2).alias("bx"), (y3 - y2).alias("by"), (x0 - x1 + x2 - x3).alias("sx"), (y0 - y1 + y2 - y3).alias("sy"))
+
+        def rest(s: Column) -> Column:
+            area = s["ax"] * s["by"] - s["bx"] * s["ay"]
+            g, h = F.try_divide(s["sx"] * s["by"] - s["bx"] * s["sy"], area), F.try_divide(s["ax"] * s["sy"] - s["sx"] * s["ay"], area)
+
+            def whole(k: Column) -> Column:
+                g, h = k["g"], k["h"]
+                names = {"a": x1 - x0 + g * x1, "b": x3 - x0 + h * x3, "c": x0, "d": y1 - y0 + g * y1, "e": y3 - y0 + h * y3, "f": y0, "g": g, "h": h}
+                m = F.struct(*[v.alias(n) for n, v in names.items()])
+                # Three points in a line leave no way back.
+                flat = [(at(p, i)["x"] - at(p, (i + 1) % 4)["x"]) * (at(p, (i + 2) % 4)["y"] - at(p, (i + 1) % 4)["y"]) == (at(p, (i + 2) % 4)["x"] - at(p, (i + 1) % 4)["x"]) * (at(p, i)["y"] - at(p, (i + 1) % 4)["y"]) for i in range(4)]
+                return F.when(g.isNotNull() & h.isNotNull() & ~(flat[0] | flat[1] | flat[2] | flat[3]), m)
+
+            return bind(F.struct(g.alias("g"), h.alias("h")), whole)
+
+        return bind(sides, rest)
+
+    return bind(q, lambda p: F.when(F.size(p) == 4, solved(p)))
+
+
+def _row(m: Column, i: int) -> list[Column]:
+    return [F.lit(1.0) if i == 2 and j == 2 else m["abcdefgh"[3 * i + j]] for j in range(3)]
+
+
+def perspective(from_: Column, to: Column) -> Column:
+    """The matrix, in the form of square_to_quad, that takes four points to four others; null where either four have three in a line."""
+
+    def combined(both: Column) -> Column:
+        m = [_row(both["from"], i) for i in range(3)]
+        # The adjugate goes back to the unit square, up to a factor.
+        back = [[m[(j + 1) % 3][(i + 1) % 3] * m[(j + 2) % 3][(i + 2) % 3] - m[(j + 1) % 3][(i + 2) % 3] * m[(j + 2) % 3][(i + 1) % 3] for j in range(3)] for i in range(3)]
+        t = [_row(both["to"], i) for i in range(3)]
+        whole = F.array(*[t[i][0] * back[0][j] + t[i][1] * back[1][j] + t[i][2] * back[2][j] for i in range(3) for j in range(3)])
+        return bind(whole, lambda w: F.struct(*[F.try_divide(F.get(w, F.lit(k)), F.get(w, F.lit(8))).alias(n) for k, n in enumerate("abcdefgh")]))
+
+    pair = F.struct(square_to_quad(from_).alias("from"), square_to_quad(to).alias("to"))
+    return bind(pair, lambda b: F.when(b["from"].isNotNull() & b["to"].isNotNull(), combined(b)))
+
+
+def project(m: Column, x: Column, y: Column) -> Column:
+    """Where a matrix takes a point; null on its horizon."""
+    s = m["g"] * x + m["h"] * y + 1.0
+    return point(F.try_divide(m["a"] * x + m["b"] * y + m["c"], s), F.try_divide(m["d"] * x + m["e"] * y + m["f"], s))

@@ -34,7 +34,8 @@ def to_u8(values: np.ndarray) -> np.ndarray:
 def gray(pixels: np.ndarray) -> np.ndarray:
     if pixels.ndim == 2 or pixels.shape[2] == 1:
         return pixels.reshape(pixels.shape[:2])
-    return to_u8(pixels[..., :3] @ np.array([0.299, 0.587, 0.114]))
+    r, g, b = (pixels[..., k].astype(np.float64) for k in range(3))
+    return to_u8(r * 0.299 + g * 0.587 + b * 0.114)
 
 
 def resized(pixels: np.ndarray, w: int, h: int) -> np.ndarray:
@@ -47,9 +48,11 @@ def resized(pixels: np.ndarray, w: int, h: int) -> np.ndarray:
     y0, y1, fy = places(h, pixels.shape[0])
     x0, x1, fx = places(w, pixels.shape[1])
     fy, fx = (f.reshape(s + (1,) * (pixels.ndim - 2)) for f, s in ((fy, (-1, 1)), (fx, (1, -1))))
-    p = pixels.astype(np.float64)
-    top = p[y0][:, x0] * (1 - fx) + p[y0][:, x1] * fx
-    return to_u8(top * (1 - fy) + (p[y1][:, x0] * (1 - fx) + p[y1][:, x1] * fx) * fy)
+    p, total = pixels.astype(np.float64), 0.0
+    for y, wy in ((y0, 1 - fy), (y1, fy)):
+        for x, wx in ((x0, 1 - fx), (x1, fx)):
+            total = total + (wy * wx) * p[y][:, x]
+    return to_u8(total)
 
 
 def homography(from_: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -67,9 +70,10 @@ def _cubic(f: np.ndarray, a: float = -0.75) -> np.ndarray:
     return np.where(d <= 1, near, far)
 
 
-def warped(pixels: np.ndarray, corners: np.ndarray, w: int, h: int, cubic: bool = False) -> np.ndarray:
-    """The quad ``corners`` stretched to w x h. Bilinear with zeros outside, or bicubic with edges repeated."""
-    back = homography(np.array([(0, 0), (w, 0), (w, h), (0, h)], float), corners)
+def warped(pixels: np.ndarray, corners: np.ndarray, w: int, h: int, cubic: bool = False, span: tuple[float, float] | None = None) -> np.ndarray:
+    """The quad ``corners`` stretched to w x h (or to ``span``, of which w x h are seen). Bilinear with zeros outside, or bicubic with edges repeated."""
+    across, down = span or (w, h)
+    back = homography(np.array([(0, 0), (across, 0), (across, down), (0, down)], float), corners)
     x, y = np.meshgrid(np.arange(w, dtype=float), np.arange(h, dtype=float))
     u, v, q = np.tensordot(back, np.stack([x, y, np.ones_like(x)]), 1)
     u, v = u / q, v / q
@@ -235,8 +239,9 @@ def prepare_for_ocr(images: DataFrame, size_col: str = "size", id_col: str = "im
 def crop_line(pixels: np.ndarray, box: np.ndarray) -> np.ndarray:
     """A text box made level, its sides cut off to whole pixels; turned by 90 degrees if it is higher than wide."""
     side = lambda i, j: float(np.hypot(*(box[i] - box[j])))
-    w, h = max(1, int(max(side(1, 0), side(2, 3)))), max(1, int(max(side(3, 0), side(2, 1))))
-    line = warped(pixels, box, w, h, cubic=True)
+    across, down = max(side(1, 0), side(2, 3)), max(side(3, 0), side(2, 1))
+    w, h = max(1, int(across)), max(1, int(down))
+    line = warped(pixels, box, w, h, cubic=True, span=(across, down))
     return rotated(line, 90) if h > w else line
 
 

@@ -7,6 +7,7 @@ one window, so a task holds the pixels of one image at most.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def stretched(v: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, saturate_u8(v * factor - low * factor)).otherwise(v)
 
 
-def stretch(pixels: DataFrame, image_col: str = "image_id", value_col: str = "v") -> DataFrame:
+def stretch(pixels: DataFrame, image_col: str | list[str] = "image_id", value_col: str = "v") -> DataFrame:
     own = Window.partitionBy(image_col)
     return pixels.withColumn(value_col, stretched(F.col(value_col), F.min(value_col).over(own), F.max(value_col).over(own)))
 
@@ -120,12 +121,16 @@ def monochrome(pixels: DataFrame, size: int = 15, less: int = 10, image_col: str
     return near.withColumn(value_col, F.when(F.col(value_col) > F.col("_blur") - less, 255).otherwise(0)).drop("_blur")
 
 
+def along_lines(pixels: DataFrame, across: str, order: str, size: int, value_col: str = "v", keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Each pixel as the brightest of the ``size`` pixels around it on its line of equal ``across``."""
+    near = Window.partitionBy(*keys, across).orderBy(order).rowsBetween(-(size // 2), size // 2)
+    return pixels.withColumn(value_col, F.max(value_col).over(near))
+
+
 def brightest(pixels: DataFrame, size: int = 13, image_col: str = "image_id", value_col: str = "v") -> DataFrame:
     """Each pixel as the brightest of its neighbourhood of ``size``: a maximum over rows, then one over columns."""
-    for keys, order in ((["y"], "x"), (["x"], "y")):
-        near = Window.partitionBy(image_col, *keys).orderBy(order).rowsBetween(-(size // 2), size // 2)
-        pixels = (pixels.repartition(image_col) if order == "x" else pixels).withColumn(value_col, F.max(value_col).over(near))
-    return pixels
+    rows = along_lines(pixels.repartition(image_col), "y", "x", size, value_col, [image_col])
+    return along_lines(rows, "x", "y", size, value_col, [image_col])
 
 
 def capture_metrics(pixels: DataFrame, image_col: str = "image_id", value_col: str = "v") -> DataFrame:
@@ -152,7 +157,7 @@ def best_filter(pixels: DataFrame, image_col: str = "image_id") -> DataFrame:
     return ratio.withColumn("mode", F.when(F.col("color_ratio") > COLORED_SHARE, "color_enhanced").otherwise("document_enhanced"))
 
 
-def document_tones(pixels: DataFrame, image_col: str = "image_id", value_col: str = "v", background_col: str = "bg") -> DataFrame:
+def document_tones(pixels: DataFrame, image_col: str | list[str] = "image_id", value_col: str = "v", background_col: str = "bg") -> DataFrame:
     """The tail of the document filter over its background: divide, stretch, tone curve."""
     flat = stretch(pixels.withColumn(value_col, divided(F.col(value_col), F.col(background_col))), image_col, value_col)
     return flat.withColumn(value_col, tone_curve(F.col(value_col)))

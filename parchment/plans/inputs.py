@@ -72,6 +72,33 @@ def _sql_channel(k: int) -> str:
 RGBA_SQL = f"rgba_px AS (SELECT vec_id AS image_id, (i // 4)::INT AS y, (i % 4)::INT AS x, {', '.join(_sql_channel(k) for k in range(4))} FROM embeddings, range(16) r(i))"
 
 
+#: The channels of a page take the vector's values from these places on.
+_TURNS = {"r": 0, "g": 21, "b": 42}
+
+
+def page_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 64 columns: image_id, y, x, r, g, b. Eight vectors make a page, each of them eight rows; the last page may be lower."""
+    v = _vectors(spark, sf_dir)
+    cells = v.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(511)))).withColumns({"k": (F.col("vec_id") % 8).cast("int"), "row": F.floor(F.col("i") / 64).cast("int"), "x": F.col("i") % 64})
+    place = F.col("row") * 8 + (F.floor(F.col("x") / 8) + F.col("x") + F.col("k")) % 8
+    of = lambda turn: _level(F.get("e", ((place + turn) % 64).cast("int")), F.when(F.col("k") % 2 == 0, 0.9).otherwise(0.15), F.lit(0.55))
+    return cells.select(F.floor(F.col("vec_id") / 8).cast("long").alias("image_id"), (F.col("k") * 8 + F.col("row")).alias("y"), "x", *[of(t).alias(n) for n, t in _TURNS.items()])
+
+
+def _sql_page_channel(name: str) -> str:
+    place = f"((i // 64 * 8 + (i % 64 // 8 + i % 64 + vec_id % 8) % 8 + {_TURNS[name]}) % 64)::INT"
+    return f"least(255, greatest(0, floor((embedding[{place} + 1]::DOUBLE * (CASE WHEN vec_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.15::DOUBLE END) + 0.55::DOUBLE) * 255 + 0.5)))::INT AS {name}"
+
+
+PAGES_SQL = f"page_px AS (SELECT (vec_id // 8)::BIGINT AS image_id, (vec_id % 8 * 8 + i // 64)::INT AS y, (i % 64)::INT AS x, {', '.join(map(_sql_page_channel, _TURNS))} FROM embeddings, range(512) r(i))"
+PAGE_SIZES_SQL = "page_sizes AS (SELECT image_id, max(x) + 1 AS src_w, max(y) + 1 AS src_h FROM page_px GROUP BY image_id)"
+
+
+def page_sizes(pixels: DataFrame) -> DataFrame:
+    """image_id, src_w, src_h of images without missing pixels."""
+    return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("src_w"), (F.max("y") + 1).alias("src_h"))
+
+
 def ctc_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight steps of eight numbers: seq_id, steps."""
     i = F.col("vec_id") % 4

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import capture, exporting, geometry, pages  # noqa: E402, F401
+from . import capture, drawing, exporting, geometry, pages  # noqa: E402, F401
