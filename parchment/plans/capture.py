@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.capture_quality import COLORS, GUIDANCE, capture_quality, frame_colors, guidance
 from ..operators import sessions
 from ..streaming.detector import detect_frames, shutter_choice
+from ..streaming.replay import replay
 from .inputs import FRAMES_SQL, SCAN_EVENTS_SQL, frames, scan_events
 from .registry import query
 
@@ -74,14 +75,26 @@ scan AS (SELECT DISTINCT session, 0::BIGINT AS seq, 0.0::DOUBLE AS now, NULL::DO
   UNION ALL {_STEP})"""
 
 
-@query(f"{_FOLD} SELECT session, seq, round(sqrt(corners[1]), 6) AS root_x0, round(sqrt(corners[2]), 6) AS root_y0, round(sqrt(corners[5]), 6) AS root_x2, round(sqrt(corners[6]), 6) AS root_y2, raw AS raw_level, stable AS level, told AS reasons, published, round(sqrt(peak), 6) AS root_peak, coalesce(-list_max(ring).s, -1) AS best_seq, asleep FROM scan WHERE seq > 0")
-def detected_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steady corners and level of each frame in its session, and the best recent frame. Numbers are given as roots, as those have no decimal ties to round."""
-    d = detect_frames(frames(spark, sf_dir))
+_DETECTED = f"{_FOLD} SELECT session, seq, round(sqrt(corners[1]), 6) AS root_x0, round(sqrt(corners[2]), 6) AS root_y0, round(sqrt(corners[5]), 6) AS root_x2, round(sqrt(corners[6]), 6) AS root_y2, raw AS raw_level, stable AS level, told AS reasons, published, round(sqrt(peak), 6) AS root_peak, coalesce(-list_max(ring).s, -1) AS best_seq, asleep FROM scan WHERE seq > 0"
+
+
+def _told(d: DataFrame) -> DataFrame:
     at = lambda i, c: F.round(F.sqrt(F.get("corners", F.lit(i))[c]), 6).alias(f"root_{c}{i}")
     return d.select("session", "seq", at(0, "x"), at(0, "y"), at(2, "x"), at(2, "y"), "raw_level", "level", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "published", F.round(F.sqrt("peak"), 6).alias("root_peak"), F.coalesce("best_seq", F.lit(-1)).alias("best_seq"), "asleep")
 
 
+@query(_DETECTED)
+def detected_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steady corners and level of each frame in its session, and the best recent frame. Numbers are given as roots, as those have no decimal ties to round."""
+    return _told(detect_frames(frames(spark, sf_dir)))
+
+
+@query(_DETECTED)
+def streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames sent through the stream, in slices of time and any order within them."""
+    return _told(replay(frames(spark, sf_dir)).where("not late"))
+
+
 @query(f"{_FOLD}, ends AS (SELECT session, arg_max(seq, seq) AS last_seq, arg_max_null(-list_max(ring).s, seq) AS best FROM scan WHERE seq > 0 GROUP BY session) SELECT session, coalesce(best, last_seq) AS seq, CASE WHEN best IS NULL THEN 'current' ELSE 'best' END AS source FROM ends")
 def shutter_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which frame a shutter press at the end of each session takes."""

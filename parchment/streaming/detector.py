@@ -6,19 +6,22 @@ outcome is what the corner model says of the frame, if it is asked: ``hit`` (wit
 
 Each frame depends on the one before, so a session is a sequence for one task; sessions spread over
 tasks. In batch, frames pass in order in small Arrow batches, and only the current session's state is
-held, so a session may be of any length. In a stream the same state is kept by session.
+held, so a session may be of any length. In a stream the same state is kept by session, with timers that
+take waiting frames in order and end sessions that have gone silent.
 """
 
 from __future__ import annotations
 
-import json
+from collections import namedtuple
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from math import hypot, nan
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.capture_quality import LIMITS
 
@@ -60,7 +63,7 @@ def assessed(focus: float, luma: float, dark_share: float, peak: float) -> tuple
 
 @dataclass
 class Scanner:
-    """The state of a session; it can be written as JSON."""
+    """The state of a session."""
 
     cached: list | None = None
     last_valid: list | None = None
@@ -76,6 +79,11 @@ class Scanner:
     ring: list = field(default_factory=list)
     active_ms: float | None = None
     asleep: bool = False
+    last_ms: float | None = None
+
+    def forget(self) -> None:
+        """As new."""
+        self.__init__()
 
     def reset(self) -> bool:
         """Back to the start, but for the clocks."""
@@ -116,7 +124,10 @@ class Scanner:
 
     def step(self, f) -> tuple:
         """One frame, or event, to its row after session, seq and frame_ms."""
+        if self.last_ms is not None and f.frame_ms - self.last_ms > END_MS:
+            self.forget()
         now, told, published, corners, raw = f.frame_ms, [], False, None, None
+        self.last_ms = now
         self.active_ms = now if self.active_ms is None else self.active_ms
         if f.outcome == "reset":
             published = self.reset()
@@ -149,7 +160,7 @@ class Scanner:
 
 
 def detect_frames(frames: DataFrame) -> DataFrame:
-    """A row per frame in the form of OUT. Frames without a session or time are left out; equal times follow seq.
+    """A row per frame in the form of OUT. Frames without a session, seq or time are left out; equal times follow seq.
 
     corners are smoothed and null while no page is held; level is the steady one; published says
     whether level or reasons have changed; best_seq is the sharpest of the last eight scored frames.
@@ -165,38 +176,124 @@ def detect_frames(frames: DataFrame) -> DataFrame:
                 rows.append((f.session, f.seq, f.frame_ms, *scanner.step(f)))
             yield pd.DataFrame(rows, columns=OUT_COLUMNS).astype({"best_seq": "Int64"})
 
-    ready = frames.select(*FRAME_COLUMNS).where("session is not null and frame_ms is not null")
+    ready = frames.select(*FRAME_COLUMNS).where("session is not null and seq is not null and frame_ms is not null")
     return ready.repartition("session").sortWithinPartitions("session", "frame_ms", "seq").mapInPandas(run, OUT)
 
 
-def detect_stream(frames: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """The same over a stream of frames.
+#: A session that has had no frame for so long has ended; what comes later begins anew.
+END_MS = 1_800_000
+_POINTS = "array<array<double>>"
+KEPT = f"cached {_POINTS}, last_valid {_POINTS}, smooth {_POINTS}, seen_ms double, detected_ms double, scored_ms double, pending string, stable string, streak int, published string, peak double, ring_focus array<double>, ring_seq array<long>, active_ms double, last_ms double, asleep boolean"
+WAITING = f"seq long, frame_ms double, outcome string, quad {_POINTS}, w double, h double, focus double, luma double, dark double"
+STREAM_OUT = OUT + ", late boolean"
+_NOTHING = (None,) * (len(OUT_COLUMNS) - 3)
+_TOLD = Row(*OUT_COLUMNS, "late")
+
+
+def _kept(s: Scanner) -> tuple:
+    return (s.cached, s.last_valid, s.smooth, s.seen_ms, s.detected_ms, s.scored_ms, s.pending, s.stable, s.streak, s.published, float(s.peak), [float(f) for f, _ in s.ring], [q for _, q in s.ring], s.active_ms, s.last_ms, s.asleep)
+
+
+def _scanner(kept: tuple | None) -> Scanner:
+    if kept is None:
+        return Scanner()
+    plain = lambda q: None if q is None else [list(p) for p in q]
+    cached, last_valid, smooth, seen, detected, scored, pending, stable, streak, published, peak, focus, seq, active, last, asleep = kept
+    return Scanner(plain(cached), plain(last_valid), plain(smooth), seen, detected, scored, pending, stable, streak, published, peak, [list(r) for r in zip(focus, seq, strict=True)], active, asleep, last)
+
 
-    Frames are held until the watermark, ``delay`` behind the newest frame, has passed them, and then
-    taken in order; those that come later than that are dropped.
+class Detection(StatefulProcessor):
+    """Frames wait in a list until the watermark has passed them, then a timer takes them in order through the session's scanner.
+
+    Two timers at most are set: one for the earliest waiting frame, one for the end of the session. At its end nothing of a session is left.
     """
 
-    def advance(key, pdfs, state):
-        kept = json.loads(state.get[0]) if state.exists else {"scanner": {}, "waiting": []}
-        for pdf in pdfs:
-            kept["waiting"] += json.loads(pdf[FRAME_COLUMNS].to_json(orient="records", double_precision=15))
-        mark = state.getCurrentWatermarkMs()
-        ready = sorted((f for f in kept["waiting"] if f["frame_ms"] <= mark), key=lambda f: (f["frame_ms"], f["seq"]))
-        kept["waiting"] = [f for f in kept["waiting"] if f["frame_ms"] > mark]
-        scanner, rows = Scanner(**kept["scanner"]), []
-        for f in ready:
-            # JSON has no NaN; a missing number is one in a batch.
-            f = pd.Series(f | {c: nan for c in ("w", "h", "focus", "luma", "dark") if f[c] is None})
-            rows.append((f.session, f.seq, f.frame_ms, *scanner.step(f)))
-        kept["scanner"] = asdict(scanner)
-        state.update((json.dumps(kept),))
-        if kept["waiting"]:
-            state.setTimeoutTimestamp(max(mark + 1, int(min(f["frame_ms"] for f in kept["waiting"])) + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=OUT_COLUMNS).astype({"best_seq": "Int64"})
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.scanner = handle.getValueState("scanner", KEPT)
+        self.waiting = handle.getListState("waiting", WAITING)
+        #: When the next waiting frame is due and when the session ends, in ms; -1 for none.
+        self.timers = handle.getValueState("timers", "due long, end long")
+
+    def _set(self, due: int, end: int) -> None:
+        old = self.timers.get() if self.timers.exists() else (-1, -1)
+        for was, now, other in ((old[0], due, end), (old[1], end, due)):
+            if was not in (now, other, -1):
+                self.handle.deleteTimer(was)
+        for now in {due, end} - {*old, -1}:
+            self.handle.registerTimer(now)
+        self.timers.update((due, end))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        mark = timerValues.getCurrentWatermarkInMs()
+        fresh, due = [], None
+        for f in rows:
+            if f.frame_ms <= mark:
+                yield _TOLD(*key, f.seq, f.frame_ms, *_NOTHING, True)
+                continue
+            fresh.append((f.seq, f.frame_ms, f.outcome, None if f.quad is None else [[p["x"], p["y"]] for p in f.quad], f.w, f.h, f.focus, f.luma, f.dark))
+            due = f.frame_ms if due is None else min(due, f.frame_ms)
+        if fresh:
+            self.waiting.appendList(fresh)
+            was, end = self.timers.get() if self.timers.exists() else (-1, -1)
+            # Whole milliseconds, after the watermark of now.
+            due = max(int(mark) + 1, int(due) + 1)
+            self._set(due if was < 0 else min(was, due), end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        mark = timerValues.getCurrentWatermarkInMs()
+        due, end = self.timers.get() if self.timers.exists() else (-1, -1)
+        gone = expiredTimerInfo.getExpiryTimeInMs()
+        if gone not in (due, end):
+            return
+        frames = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((f for f in frames if f[1] <= mark), key=lambda f: (f[1], f[0]))
+        rest = [f for f in frames if f[1] > mark]
+        if not frames and gone == end:
+            for state in (self.scanner, self.waiting, self.timers):
+                state.clear()
+            return
+        scanner = _scanner(self.scanner.get() if self.scanner.exists() else None)
+        for seq, frame_ms, outcome, quad, w, h, focus, luma, dark in ready:
+            missing = [nan if v is None else v for v in (w, h, focus, luma, dark)]
+            f = _Frame(seq, frame_ms, outcome, None if quad is None else [{"x": x, "y": y} for x, y in quad], *missing)
+            corners, *told = scanner.step(f)
+            told = [None if v != v else v for v in told]  # as a batch gives no number
+            yield _TOLD(*key, seq, frame_ms, corners, *told, False)
+        if ready:
+            self.scanner.update(_kept(scanner))
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        # The timer that has fired is no more.
+        self.timers.update((-1 if gone == due else due, -1 if gone == end else end))
+        next_end = end if scanner.last_ms is None else int(scanner.last_ms) + END_MS + 1
+        self._set(max(int(mark) + 1, int(min(f[1] for f in rest)) + 1) if rest else -1, max(int(mark) + 1, next_end))
+
+
+_Frame = namedtuple("_Frame", ["seq", "frame_ms", "outcome", "quad", "w", "h", "focus", "luma", "dark"])
+
 
-    timed = frames.select(*FRAME_COLUMNS, F.timestamp_millis(F.col("frame_ms").cast("long")).alias("at")).withWatermark("at", delay)
-    return timed.groupBy("session").applyInPandasWithState(advance, OUT, "state string", "append", "EventTimeTimeout")
+def detect_stream(frames: DataFrame, delay: str = "2 seconds") -> DataFrame:
+    """The same over a stream of frames, with a column late.
+
+    Frames are held until the watermark, ``delay`` behind the newest frame, has passed them, and then taken in order. Those that come
+    later than that have rows of their own with late true and no more than session, seq and frame_ms; the scanner doesn't see
+    them. The state of a session goes END_MS after its last frame. State is kept in RocksDB (see rocksdb_state).
+    """
+    timed = frames.select(*FRAME_COLUMNS, F.timestamp_millis(F.col("frame_ms").cast("long")).alias("at")).where("session is not null and seq is not null and frame_ms is not null").withWatermark("at", delay)
+    # Without the time itself Spark doesn't drop late rows, and the processor can tell of them.
+    return timed.select(*FRAME_COLUMNS).groupBy("session").transformWithState(Detection(), STREAM_OUT, "Append", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB; the session's own choice is put back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def shutter_choice(frames: DataFrame, detected: DataFrame) -> DataFrame:

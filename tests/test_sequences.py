@@ -1,6 +1,7 @@
 """Whatever depends on what came before: detection over frames, in batch and as a stream, and sessions."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from parchment.operators.sessions import OCR_FAILED, fold_sessions
 from parchment.plans import inputs
 from parchment.streaming import detector as d
+from parchment.streaming.replay import replay
 
 PAGE = [{"x": 64.0, "y": 48.0}, {"x": 500.0, "y": 48.0}, {"x": 500.0, "y": 430.0}, {"x": 64.0, "y": 430.0}]
 
@@ -63,20 +65,52 @@ def test_empty_input(spark):
     assert run(spark, []) == []
 
 
+def streamed(spark, folder, parts, name):
+    """The parts as files in this order, through the stream; and the rows of its state after each of them."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, d.FRAME).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        for f in (folder / "in" / str(i)).iterdir():
+            os.utime(f, (10**9 + i, 10**9 + i))
+    source = spark.readStream.schema(d.FRAME).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with d.rocksdb_state(spark):
+        query = d.detect_stream(source).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert query.exception() is None
+    return spark.table(name), [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def lines(df):
+    return sorted(json.dumps(r.asDict(recursive=True), default=str, sort_keys=True) for r in df.drop("late").collect())
+
+
 def test_stream_equals_batch(spark, tmp_path):
+    """Frames in any order within the delay, with nulls, a session that ends and begins anew, and late frames; in the end no state is left."""
     frames = inputs.frames(spark, "/root/testdata/sf0.001").where("session < 3 or session = 5")
-    frames = frames.withColumns({c: F.when(F.col("seq") % n != 3, F.col(c)) for c, n in (("focus", 7), ("luma", 9), ("dark", 11), ("w", 13))})
-    want = sorted(json.dumps(r.asDict(recursive=True), default=str, sort_keys=True) for r in d.detect_frames(frames).collect())
-    rows = frames.select(*d.FRAME_COLUMNS).orderBy(F.xxhash64("session", "seq")).collect()
-    closing = frame(10**6, 10.0**7, session=999)
-    for i, part in enumerate((rows, [closing], [closing])):
-        spark.createDataFrame(part, d.FRAME).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    source = spark.readStream.schema(d.FRAME).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    # The files come in order of their time, so the first one has to be the oldest.
-    query = d.detect_stream(source).writeStream.format("memory").queryName("detected").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    got = sorted(json.dumps(r.asDict(recursive=True), default=str, sort_keys=True) for r in spark.table("detected").where("session <> 999").collect())
-    assert got == want and len(got) > 3
+    frames = frames.withColumns({c: F.when(F.col("seq") % n != 3, F.col(c)) for c, n in (("focus", 7), ("luma", 9), ("dark", 11), ("w", 13))}).select(*d.FRAME_COLUMNS)
+    known = [tuple(r) for r in frames.orderBy(F.xxhash64("session", "seq")).collect()]
+    again = [frame(1000 + i, 2.0 * d.END_MS + 50 * i, session=s, focus=700.0 + i) for s in (2, 5) for i in range(9)]
+    again[3] = (2, None, 2.0 * d.END_MS + 155.5, None, None, None, None, None, None, None)
+    nobody = [frame(1, 300, session=None), (6, 1, None, "hit", PAGE, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    want = spark.createDataFrame(known + again + nobody, d.FRAME)
+    late = [frame(5000, 12.0, session=1), frame(5001, 12.0, session=77)]
+    cut = sorted(f[2] for f in known)[len(known) // 2]
+    first, second = [f for f in known if f[2] <= cut], [f for f in known if f[2] > cut]
+    closing = lambda n: [frame(10**6, n * 10.0**7, session=999)]
+    got, state = streamed(spark, tmp_path, [first + nobody, second, late + again[::-1], closing(1), closing(2), closing(3), closing(4)], "detected")
+    assert lines(got.where("session <> 999 and not late")) == lines(d.detect_frames(want)) and len(known) > 3
+    assert sorted((r["session"], r["seq"], r["frame_ms"], r["level"]) for r in got.where("late").collect()) == [(1, 5000, 12.0, None), (77, 5001, 12.0, None)]
+    assert max(state) > 6 and state[-1] <= 4  # but for the session that moves the clock
+
+
+def test_replay_of_nothing(spark):
+    assert replay(spark.createDataFrame([(1, 1, None, *[None] * 7)], d.FRAME)).count() == 0
+
+
+def test_sessions_end(spark):
+    rows = run(spark, [frame(0, 400), frame(1, 400 + d.END_MS, "error"), frame(2, 401 + 2 * d.END_MS, "error")])
+    assert [r["best_seq"] for r in rows] == [0, 0, None]
+    rows = run(spark, [frame(0, 400, "hidden"), frame(1, 400 + d.END_MS), frame(2, 401 + 2 * d.END_MS)])
+    assert [r["asleep"] for r in rows] == [True, True, False]
 
 
 def events(spark, rows):
