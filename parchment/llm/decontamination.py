@@ -43,7 +43,8 @@ def least_score(weights: dict, shingles: list[tuple], overlap: float) -> float:
 
     A word is missing from the passage only if all shingles with it are. So what may be missing is bounded by the words that
     weigh most for the shingles they are in (each missing shingle counts for as many words as it has), and, as a run
-    of missing shingles frees no more words than it has members, by as many of the heaviest words.
+    of missing shingles frees no more words than it has members, by as many of the heaviest words. And as one shingle at
+    least is there, so are all its words: there is always some weight left.
     """
     often = Counter(shingles)
     spare = int(len(often) * (1 - overlap) + EPS)
@@ -56,7 +57,17 @@ def least_score(weights: dict, shingles: list[tuple], overlap: float) -> float:
         light, room = light + part * weights[w], room - part * within[w]
         if room <= 0:
             break
-    return max(0.05, 1 - min(heaviest, light) / total)
+    lightest = min(sum(weights[w] for w in set(s)) for s in often)
+    return max(lightest / total, 1 - min(heaviest, light) / total)
+
+
+def shingle_keys(ids: np.ndarray, width: int) -> np.ndarray:
+    """A number for each run of ``width`` words; equal runs have equal ones, and others seldom."""
+    n = max(0, len(ids) - width + 1)
+    key = np.zeros(n, np.uint64)
+    for j in range(width):
+        key = (key + ids[j : j + n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return key
 
 
 class ItemIndex:
@@ -64,12 +75,14 @@ class ItemIndex:
 
     A posting's impact is its BM25 weight over the least weight that a passage with enough of the piece's shingles
     can have (``least_score``), so 1 is the threshold for all of them, and nothing that the verification would accept lies below. Pieces in the
-    order of their items form blocks; each term has the greatest impact of each block it occurs in. The heaviest words of a piece, without which the others
-    reach no more than ``light``, are listed by themselves. ``stats`` are those of
-    all items, whatever part of them this index holds: number and mean length of pieces, and pieces by term.
+    order of their items form blocks; each term has the greatest impact of each block it occurs in. A passage opens the blocks of
+    the pieces of which it has one of the rarest shingles, one more of them than may be missing; no other piece can be verified.
+    ``stats`` are those of all items, whatever part of them this index holds: number and mean length of pieces, and pieces by term.
     """
 
-    def __init__(self, items: list[tuple[int, str, str | None]], stats: tuple[int, float, dict[bytes, int]], width: int, overlap: float, block: int = 16, light: float = 0.8, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str, str | None]], stats: tuple[int, float, dict[bytes, int]], width: int, overlap: float, block: int = 16, k1: float = 1.2, b: float = 0.75):
+        if not 0 < overlap <= 1:
+            raise ValueError("an overlap over 0 and up to 1 is needed")
         n, mean, df = stats
         self.width, self.overlap, self.block = width, overlap, block
         self.vocabulary: dict[bytes, int] = {}
@@ -77,7 +90,6 @@ class ItemIndex:
         self.item_of, self.shingles, self.self_score = [], [], []
         self.at: list[list[int]] = []
         self.impact: list[list[float]] = []
-        self.rest, heavy = [], []
         for item, question, answer in items:
             words = tokens(question)
             if not words:
@@ -92,14 +104,9 @@ class ItemIndex:
                 total, least = sum(weight.values()), least_score(weight, cut, overlap)
                 self.at += [[] for _ in range(len(self.vocabulary) - len(self.at))]
                 self.impact += [[] for _ in range(len(self.vocabulary) - len(self.impact))]
-                rest = 1 / least
-                for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+                for t, w in weight.items():
                     self.at[t].append(len(self.item_of))
                     self.impact[t].append(w / total / least)
-                    if rest > light:
-                        rest -= w / total / least
-                        heavy.append((t, len(self.item_of), w / total / least))
-                self.rest.append(rest)
                 self.own_pieces[-1].append(len(self.item_of))
                 self.item_of.append(len(self.ids))
                 self.shingles.append(set(cut))
@@ -114,11 +121,19 @@ class ItemIndex:
             for p, i in zip(at, impact, strict=True):
                 most[p // block] = max(most[p // block], i)
             self.block_max.append(dict(most))
-        self.heavy_at, self.heavy_impact = np.array([h[1] for h in heavy], np.int64), np.array([h[2] for h in heavy])
-        of = np.array([h[0] for h in heavy], np.int64)
-        order = np.argsort(of, kind="stable")
-        self.heavy_at, self.heavy_impact, self.heavy_start = self.heavy_at[order], self.heavy_impact[order], np.searchsorted(of[order], np.arange(len(self.at) + 1))
-        self.rest = np.array(self.rest)
+        often = Counter(cut for own in self.shingles for cut in own)
+        gates: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
+        for p, own in enumerate(self.shingles):
+            spare = len(own) - max(1, int(np.ceil(overlap * len(own) - EPS)))
+            for cut in sorted(own, key=lambda c: (often[c], c))[: spare + 1]:
+                gates[len(cut)].append((cut, p))
+        #: By the width of shingles: sorted keys of the rarest ones, and the blocks that each opens.
+        self.gates = {}
+        for width_, known in gates.items():
+            key = np.array([shingle_keys(np.array(cut), width_)[0] for cut, _ in known], np.uint64)
+            of = np.array([p // block for _, p in known], np.int64)
+            order = np.lexsort((of, key))
+            self.gates[width_] = key[order], of[order]
 
     def above(self, terms: list[int], start: int, end: int) -> list[tuple[int, float]]:
         """The pieces from ``start`` up to ``end`` whose impacts for ``terms`` add up to 1 or more, and the sums.
@@ -175,31 +190,21 @@ class ItemIndex:
     def search(self, text: str | None, answer_overlap: float) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of the items that the text holds.
 
-        Every passage of the text asks for the pieces above the threshold, in the blocks where the heaviest words of a piece leave that open.
+        Every passage of the text asks for the pieces above the threshold, in the blocks that its shingles open.
         """
         words = tokens(text)
         if not words or not self.ids:
             return []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        places = np.flatnonzero(ids >= 0)
-        if not places.size:
-            return []
-        v = len(self.vocabulary)
-        window = places // PIECE
-        pair = np.unique(np.concatenate([window * v + ids[places], (window[window > 0] - 1) * v + ids[places[window > 0]]]))
-        window, term = np.divmod(pair, v)
-        first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
-        last = np.append(first[1:], len(window))
         best: dict[int, tuple[float, float]] = {}
-        for k, s, e, blocks in self._open(window, term, first, last):
-            terms = term[s:e].tolist()
-            above = [hit for b in blocks for hit in self.above(terms, b * self.block, (b + 1) * self.block)]
-            cut = None
-            for p, score in above:
+        for k, blocks in self.opened(ids):
+            passage = ids[k * PIECE : (k + 2) * PIECE]
+            terms = np.unique(passage[passage >= 0]).tolist()
+            passage = passage.tolist()
+            cut: dict[int, set] = {}
+            for p, score in (hit for b in blocks for hit in self.above(terms, b * self.block, (b + 1) * self.block)):
                 wanted, i = self.shingles[p], self.item_of[p]
-                passage = ids[k * PIECE : (k + 2) * PIECE].tolist()
-                cut = {} if cut is None else cut
                 width = len(next(iter(wanted)))
                 if width not in cut:
                     cut[width] = set(_shingles(passage, width)) if len(passage) >= width else set()
@@ -214,21 +219,26 @@ class ItemIndex:
                 found.append((self.ids[i], score, share, told))
         return found
 
-    def _open(self, window: np.ndarray, term: np.ndarray, first: np.ndarray, last: np.ndarray, at_once: int = 512) -> Iterator[tuple[int, int, int, list[int]]]:
-        """Passages, the places of their terms, and the blocks with a piece whose heavy words in the passage leave open that it reaches 1."""
-        size = len(self.rest)
-        for at in range(0, len(first), at_once):
-            begin, end = first[at : at + at_once], last[at : at + at_once]
-            own = term[begin[0] : end[-1]]
-            n = self.heavy_start[own + 1] - self.heavy_start[own]
-            row = np.repeat(np.repeat(np.arange(len(begin)), end - begin), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.heavy_start[own], n)
-            key, inverse = np.unique(row * size + self.heavy_at[place], return_inverse=True)
-            reach = np.bincount(inverse, weights=self.heavy_impact[place], minlength=len(key)) + self.rest[key % size]
-            open_ = key[reach >= 1 - EPS]
-            row, block = np.divmod(np.unique(open_ // size * size + open_ % size // self.block), size)
-            for r in np.unique(row).tolist():
-                yield int(window[begin[r]]), int(begin[r]), int(end[r]), block[row == r].tolist()
+    def opened(self, ids: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Passages of a text that have one of the rarest shingles of a piece, and the blocks of these pieces. All passages are looked through at once."""
+        pairs = []
+        for width, (keys, blocks) in self.gates.items():
+            missing = np.concatenate([[0], np.cumsum(ids < 0)])
+            at = np.flatnonzero(missing[width:] == missing[:-width]) if len(ids) >= width else np.zeros(0, np.int64)
+            key = shingle_keys(ids, width)[at]
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            n = high - low
+            place = np.repeat(at, n)
+            block = blocks[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            # A shingle lies in the passage that starts before it, and in the one before if it ends there.
+            passage = place // PIECE
+            before = (passage > 0) & (place + width <= (passage + 1) * PIECE)
+            pairs += [np.stack([passage, block]), np.stack([passage[before] - 1, block[before]])]
+        if pairs and (every := np.concatenate(pairs, axis=1)).size:
+            passage, block = np.unique(every, axis=1)
+            cuts = np.flatnonzero(np.diff(passage, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(passage)], strict=True):
+                yield int(passage[a]), block[a:b].tolist()
 
     def _held(self, i: int, ids: np.ndarray) -> float:
         """The share of an item's shingles in the text, each piece's counted in the passage that has most of them."""
@@ -274,8 +284,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     """All columns of ``docs`` plus contamination: array of struct(item_id, score, question_overlap, answer_overlap), in the order of item_id.
 
     Every passage of every text asks a BM25 index of the items' questions, long ones in pieces of 64 words. A piece is retrieved if its score
-    reaches the least that a passage with ``overlap`` of its ``width``-word shingles can have; so the threshold
-    hides nothing. What is retrieved is verified: ``overlap`` of the question's shingles must be in the text (those of a piece in one passage), and
+    reaches the least that a passage with ``overlap`` (over 0) of its ``width``-word shingles can have, and if the passage has one of the piece's
+    rarest shingles, of which it can't lack all; so neither hides anything. What is retrieved is verified: ``overlap`` of the question's shingles must be in the text (those of a piece in one passage), and
     ``answer_overlap`` of the answer's words in a passage that holds a piece. score is the greatest of the pieces' there, over a piece's score for itself.
 
     Statistics are those of all items. An index holds about ``most_items`` items; with more items there are several, one

@@ -279,11 +279,11 @@ def statistics(items, width):
 
 
 def test_search_finds_what_a_full_scan_of_scores_finds():
-    """Pivots, block maxima and heavy words never hide a piece that reaches the threshold."""
+    """Pivots and block maxima never hide a piece that reaches the threshold."""
     rng = np.random.default_rng(7)
     items = [(i, " ".join(f"w{v}" for v in rng.zipf(1.5, rng.integers(3, 30)) % 80), None) for i in range(150)]
-    for block, light in ((1, 0.8), (4, 0.3), (16, 0.8), (10**6, 0.99)):
-        index = decontamination.ItemIndex(items, statistics(items, 2), 2, 0.5, block=block, light=light)
+    for block in (1, 4, 16, 10**6):
+        index = decontamination.ItemIndex(items, statistics(items, 2), 2, 0.5, block=block)
         hits = 0
         for _ in range(40):
             terms = np.unique(rng.zipf(1.5, 60) % len(index.vocabulary)).tolist()
@@ -292,13 +292,41 @@ def test_search_finds_what_a_full_scan_of_scores_finds():
                 for p, i in zip(index.at[t], index.impact[t], strict=True):
                     scores[p] += i
             want = {p for p, x in scores.items() if x >= 1 - 1e-9}
-            assert {p for p, _ in index.above(terms, 0, len(index.rest))} == want
-            open_ = [b for *_, blocks in index._open(np.zeros(len(terms), np.int64), np.array(terms), np.array([0]), np.array([len(terms)])) for b in blocks]
-            assert want <= {p for b in open_ for p in range(b * block, (b + 1) * block)}
+            assert {p for p, _ in index.above(terms, 0, len(index.item_of))} == want
             hits += len(want)
         assert hits > 20
 
 
+@pytest.mark.parametrize("n", [40, 200, 2000])
+def test_items_of_one_rare_and_many_common_words(n):
+    """Passages without the rare word hold four of five shingles, and so all items, whatever weight is left."""
+    shared = "alpha beta gamma delta epsilon zeta eta theta"
+    items = [(i, f"rare{i} {shared}", None) for i in range(n)]
+    index = decontamination.ItemIndex(items, statistics(items, 5), 5, 0.8)
+    assert [x[0] for x in index.search(f"as {shared} say", 0.8)] == list(range(n))
+    assert [x[0] for x in index.search(f"as rare7 {shared.removesuffix(' theta')} say", 0.8)] == [7]
+    assert index.search(f"as {shared.removesuffix(' theta')} say", 0.8) == []
+
+
+@pytest.mark.parametrize(("width", "overlap"), [(5, 0.8), (3, 0.5), (2, 0.2), (5, 1.0)])
+def test_random_items_against_overlap_alone(width, overlap):
+    """Items of few rare and many common words, and texts cut from them: what is found is what the shingles say."""
+    rng = random.Random(int(overlap * 100) + width)
+    common = [f"c{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.85 else f"rare{rng.randrange(40)}" for _ in range(rng.choice([1, 2, 4, 7, 12, 30, 90])))) for i in range(120)]
+    index = decontamination.ItemIndex([(i, q, None) for i, q in items], statistics(items2 := [(i, q, None) for i, q in items], width), width, overlap)
+    hits = 0
+    for _ in range(150):
+        words = rng.choice(items2)[1].split() + rng.choices(common, k=5) + rng.choice(items2)[1].split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = "other"
+        text = " ".join(words)
+        got = {x[0] for x in index.search(text, 0.8)}
+        assert got == plain_contamination(text, items, width, overlap)
+        hits += len(got)
+    assert hits > 50
+
+
 def test_results_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
     """Items that share most words, one text with these: the same items and scores for any division of the items."""
     shared = "alpha beta gamma delta epsilon zeta eta theta"
