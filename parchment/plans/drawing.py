@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.jsnum import bind
 from ..operators import gather, pixels
 from .geometry import sql_sorted
 from .inputs import PAGE_SIZES_SQL, PAGES_SQL, QUADS_SQL, page_pixels, page_sizes, quads
@@ -97,11 +98,16 @@ SELECT vec_id, q, round(ma / across, 5) + 0.0::DOUBLE AS a, round(mb / down, 5)
   round((ma / 2 + mb / 2 + mc) / (mg / 2 + mh / 2 + 1), 5) AS centre_x, round((md / 2 + me / 2 + mf) / (mg / 2 + mh / 2 + 1), 5) AS centre_y FROM matrices""")
 def page_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix from each quad's page to the frame, by way of four points and four others, and where the page's centre lies. Quads with three points in a line have none."""
-    q = quads(spark, sf_dir).select("vec_id", "q", g.sort_corners(g.to_pixels(F.col("pts"), F.col("w"), F.col("h"))).alias("c"))
-    size = g.page_size(F.col("c"))
-    q = q.withColumns({"pw": size["width"].cast("double"), "ph": size["height"].cast("double")})
-    flat = g.quad((F.lit(0.0), F.lit(0.0)), (F.col("pw"), F.lit(0.0)), (F.col("pw"), F.col("ph")), (F.lit(0.0), F.col("ph")))
-    m = q.withColumn("m", g.perspective(flat, F.col("c"))).where("m is not null").withColumn("p", g.project(F.col("m"), F.col("pw") / 2, F.col("ph") / 2))
+    def solved(c: Column) -> Column:
+        def matrix(size: Column) -> Column:
+            w, h = size["width"].cast("double"), size["height"].cast("double")
+            m = g.perspective(g.quad((F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, h), (F.lit(0.0), h)), c)
+            return bind(m, lambda m: F.when(m.isNotNull(), F.struct(m.alias("m"), g.project(m, w / 2, h / 2).alias("p"))))
+
+        return bind(g.page_size(c), matrix)
+
+    found = bind(g.sort_corners(g.to_pixels(F.col("pts"), F.col("w"), F.col("h"))), solved)
+    m = quads(spark, sf_dir).select("vec_id", "q", found.alias("s")).where("s is not null").select("vec_id", "q", "s.*")
     at = lambda n, k=1.0: F.round(F.col(f"m.{n}") * k, 5) + 0.0
     return m.select("vec_id", "q", at("a").alias("a"), at("b").alias("b"), at("d").alias("d"), at("e").alias("e"), at("g", 1000).alias("g1000"), at("h", 1000).alias("h1000"), F.round("p.x", 5).alias("centre_x"), F.round("p.y", 5).alias("centre_y"))
 

@@ -120,18 +120,6 @@ def prepared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready.select("image_id", "prepared.width", "prepared.height", F.sha2("prepared.data", 256).alias("sha256"))
 
 
-@query()
-def text_lines_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text boxes of every vector as a probability map of 8x8 cells, each 4 wide and 3 high."""
-    cell = lambda i: F.floor(i / 96).cast("int") * 8 + F.floor(i % 32 / 4).cast("int")
-    p = F.transform(F.sequence(F.lit(0), F.lit(32 * 24 - 1)), lambda i: (F.get("embedding", cell(i)) * 2 + 0.3).cast("float"))
-    maps = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), p.alias("p"), F.lit(32).alias("map_w"), F.lit(24).alias("map_h"))
-    rects = text_boxes.text_rects(maps).withColumns({"map_w": F.lit(32), "map_h": F.lit(24), "page_w": F.lit(64), "page_h": F.lit(48)})
-    lines = text_boxes.in_reading_order(text_boxes.boxes_on_page(rects))
-    w, h = g.edge_sizes(F.col("box"))
-    return lines.select("image_id", "contour", "line_no", F.round("score", 6).alias("score"), F.round(w, 6).alias("width"), F.round(h, 6).alias("height"), text_lines.line_width(w, h).alias("line_w"))
-
-
 @query()
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image's best filter, and its sharpness, brightness and level within the corners of its first quad."""

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from .detector import END_MS, FRAME, FRAME_COLUMNS, STREAM_OUT, detect_stream, rocksdb_state
 
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only in local mode without it."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="streams-"))
-    return _own[0]
-
-
 def replay(frames: DataFrame, slices: int = 3) -> DataFrame:
     """What detect_stream gives for frames that come slice by slice, each in any order; the stream's files stay in a folder of their own.
 
