@@ -43,6 +43,22 @@ def test_one_text_may_hold_most_rows(spark, same):
     assert len(got) == 3000 and len(sizes) == 5 and sizes.max() < 1.05 * sizes.mean() and sizes.min() > 0.95 * sizes.mean()
 
 
+@pytest.mark.parametrize("ids", ["null", "same", "two"])
+def test_equal_rows_are_parted(spark, ids):
+    """Rows that nothing tells apart fall evenly on all shards, in several partitions too, and beside other texts."""
+    doc_id = {"null": F.lit(None).cast("long"), "same": F.lit(7).cast("long"), "two": F.col("id") % 2}[ids]
+    alike = spark.range(2000).select(doc_id.alias("doc_id"), F.lit("the same text").alias("text"), F.col("id").alias("own"))
+    got = sharding.shard_by_bytes(alike).toPandas()
+    assert sorted(got["own"]) == list(range(2000)) and got.groupby("shard").size().between(240, 260).all() and got["shard"].nunique() == 8
+    other = spark.range(3000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), (F.col("id") + 5000).alias("own"))
+    both = sharding.shard_by_bytes(alike.repartition(7).unionByName(other), ranges_per_shard=5).toPandas()
+    sizes = both.groupby("shard")["size"].sum()
+    assert len(set(both["own"])) == 5000 == len(both) and sizes.max() < 1.02 * sizes.mean() and sizes.min() > 0.98 * sizes.mean()
+    for found in (got, both):
+        for _, own in found.groupby("shard"):
+            assert sorted(own["slot"]) == list(range(len(own)))
+
+
 def test_many_ranges(spark, monkeypatch):
     """More ranges than bins in a round; small groups of equal texts stay whole at the shards' boundaries."""
     monkeypatch.setattr(sharding, "BINS", 64)
@@ -213,3 +229,35 @@ def test_pipeline_of_an_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, odd, clashing, empty, tmp_path):
+    """Nulls, repeated rows, long texts and clashing names through every stage and through run; an empty table through run."""
+    import os
+
+    import corpus_pipeline
+
+    for rows in (odd, clashing):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "shard":
+                assert out.columns == rows.columns
+                if name == "decontaminate" and "contamination" in rows.columns:
+                    out = out.withColumn("contamination", F.lit("mine"))
+            else:
+                assert out.columns[-3:] == ["size", "shard", "slot"] and set(rows.columns) <= set(out.columns)
+            path = f"{tmp_path}/{len(rows.columns)}/{name}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        kept = docs.toPandas()
+        assert len(kept) > 20 and kept["text"].notna().all() and (kept["text"].str.strip(SPACES) != "").all()
+        assert kept.groupby("text").size().max() <= 2  # a mix takes a row twice at most
+    for name, rows in (("odd", odd), ("empty", empty)):
+        folder = tmp_path / name
+        folder.mkdir()
+        rows.write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            os.symlink(f"{SF}/{other}.parquet", folder / f"{other}.parquet")
+        got = corpus_pipeline.run(spark, str(folder))
+        assert got.columns[-3:] == ["size", "shard", "slot"] and (got.count() > 20 if name == "odd" else got.count() == 0)
