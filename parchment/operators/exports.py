@@ -6,11 +6,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.jsnum import fixed, is_blank, or_default
+from ..sources.shared import checkpointed
 from .page_images import IMAGE, as_array, resized
 
 PDF_LONG_SIDE, LEAST_FONT, FONT_SHARE = 1600, 4.0, 0.8
@@ -92,9 +93,9 @@ def pdf_pages(pages: DataFrame) -> DataFrame:
     return sized.select("session", "page", F.col("image").cast(IMAGE).alias("image"), "size", F.coalesce(placed, F.array().cast("array<struct<text:string,x:double,y:double,size:double>>")).alias("placed"))
 
 
-def _stream(head: str, body: bytes) -> bytes:
-    packed = zlib.compress(body)
-    return f"<< {head} /Filter /FlateDecode /Length {len(packed)} >>\nstream\n".encode() + packed + b"\nendstream"
+def _stream(head: str, body: bytes, packed: bool = True) -> bytes:
+    body = zlib.compress(body) if packed else body
+    return f"<< {head} {'/Filter /FlateDecode ' if packed else ''}/Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream"
 
 
 def _text_layer(placed) -> bytes:
@@ -109,7 +110,7 @@ def _text_layer(placed) -> bytes:
     return b"\n".join([*out, b"ET"])
 
 
-def _unicode_font(at: int) -> list[bytes]:
+def _unicode_font(at: int, packed: bool = True) -> list[bytes]:
     """Four objects, numbered from ``at``: a font whose two-byte codes are UTF-16 units; it has no outlines, as its text is never drawn."""
     ranges = [f"<{i:02x}00> <{i:02x}ff> <{i:02x}00>" for i in range(256)]
     parts = "\n".join(f"{len(own)} beginbfrange\n" + "\n".join(own) + "\nendbfrange" for own in (ranges[i : i + 100] for i in range(0, 256, 100)))
@@ -118,49 +119,118 @@ def _unicode_font(at: int) -> list[bytes]:
         f"<< /Type /Font /Subtype /Type0 /BaseFont /Units /Encoding /Identity-H /DescendantFonts [{at + 1} 0 R] /ToUnicode {at + 3} 0 R >>".encode(),
         f"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Units /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW 1000 /FontDescriptor {at + 2} 0 R >>".encode(),
         b"<< /Type /FontDescriptor /FontName /Units /Flags 4 /FontBBox [0 -200 1000 800] /ItalicAngle 0 /Ascent 800 /Descent -200 /CapHeight 700 /StemV 80 >>",
-        _stream("", meaning.encode()),
+        _stream("", meaning.encode(), packed),
     ]
 
 
-def pdf_bytes(pages: list[dict]) -> bytes:
-    """A PDF of pages with image, size and placed; a page is as large in points as its image in pixels."""
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", *_unicode_font(4)]
-    kids = []
-    for p in pages:
-        w, h = p["size"]["width"], p["size"]["height"]
-        pixels = as_array(p["image"])
-        pixels = pixels if (pixels.shape[1], pixels.shape[0]) == (w, h) else resized(pixels, w, h)
-        pixels = pixels[..., :3] if pixels.shape[2] > 1 else pixels
-        n = len(objects)
-        kind = "DeviceRGB" if pixels.shape[2] == 3 else "DeviceGray"
-        objects.append(_stream(f"/Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{kind} /BitsPerComponent 8", pixels.tobytes()))
-        objects.append(_stream("", f"q {w} 0 0 {h} 0 0 cm /I Do Q\n".encode() + _text_layer(p["placed"])))
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {w} {h}] /Contents {n + 2} 0 R /Resources << /XObject << /I {n + 1} 0 R >> /Font << /F1 3 0 R /F2 4 0 R >> >> >>".encode())
-        kids.append(f"{n + 3} 0 R")
-    objects[1] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] >>".encode()
-    out, places = b"%PDF-1.5\n", []
-    for i, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n" % i + body + b"\nendobj\n"
-    table = b"".join(b"%010d 00000 n \n" % at for at in places)
-    return out + b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + table + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
+#: Objects that each document begins with: the catalogue, the list of pages, and the fonts. Each page has three more: image, content, page.
+FIXED, EACH = 7, 3
+HEADER, CATALOGUE = b"%PDF-1.5\n", b"<< /Type /Catalog /Pages 2 0 R >>"
 
 
-def pdf_documents(pages: DataFrame) -> DataFrame:
-    """session, pdf from pages as pdf_pages takes them. A session's pages pass in order through one task, and only one document is held at a time."""
+def _fonts(packed: bool) -> list[bytes]:
+    return [b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", *_unicode_font(4, packed)]
+
+
+def _drawn(page: dict, packed: bool) -> tuple[bytes, bytes]:
+    """The image and the content of a page that is as large in points as its image in pixels."""
+    w, h = int(page["size"]["width"]), int(page["size"]["height"])
+    pixels = as_array(page["image"])
+    pixels = pixels if (pixels.shape[1], pixels.shape[0]) == (w, h) else resized(pixels, w, h)
+    pixels = pixels[..., :3] if pixels.shape[2] > 1 else pixels
+    kind = "DeviceRGB" if pixels.shape[2] == 3 else "DeviceGray"
+    image = _stream(f"/Type /XObject /Subtype /Image /Width {w} /Height {h} /ColorSpace /{kind} /BitsPerComponent 8", pixels.tobytes(), packed)
+    return image, _stream("", f"q {w} 0 0 {h} 0 0 cm /I Do Q\n".encode() + _text_layer(page["placed"]), packed)
+
+
+def pdf_parts(pages: DataFrame, packed: bool = True) -> DataFrame:
+    """session, no, start, content, page, error: documents as rows, which in the order of no make up each session's file, byte by byte from start on.
+
+    no 0 is the header, 1 to 7 are fixed objects, each page has three, and the table of places comes last. Pages (as pdf_pages takes
+    them) are drawn one by one; numbers, and the places of all objects as running sums of their lengths, are settled on rows without the bytes, so no
+    task holds more than a page. A page that can't be drawn is left out and has a row with its error, without no. Without
+    ``packed`` streams are as they are. Pages without a session are left out, null images fail; pages of one number are in any order; a session
+    of failed pages only has no document; an empty table gives no rows.
+    """
+    kind = pages.schema["session"].dataType.simpleString()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own = None, []
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows = []
             for row in pdf.to_dict("records"):
-                if own and row["session"] != key:
-                    yield pd.DataFrame({"session": [key], "pdf": [pdf_bytes(own)]})
-                    own = []
-                key = row["session"]
-                own.append(row)
-        if own:
-            yield pd.DataFrame({"session": [key], "pdf": [pdf_bytes(own)]})
+                try:
+                    image, text = _drawn(row, packed)
+                    rows.append((row["session"], row["page"], image, text, row["size"]["width"], row["size"]["height"], None))
+                except (ValueError, TypeError, KeyError, IndexError) as e:
+                    rows.append((row["session"], row["page"], None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["session", "page", "image", "text", "w", "h", "error"]).astype({"w": "Int32", "h": "Int32"})
+
+    ready = pdf_pages(pages.where("session is not null"))
+    schema = f"session {kind}, page {pages.schema['page'].dataType.simpleString()}, image binary, text binary, w int, h int, error string"
+    done = checkpointed(ready.mapInPandas(draw, schema).withColumn("key", F.monotonically_increasing_id()))
+    good = done.where("error is null")
+
+    # What the places follow from: rows without the bytes.
+    whole = lambda no, length: F.length(no.cast("string")) + 15 + length  # noqa: E731  with "no 0 obj" before it and "endobj" after
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("page", "key")) - 1
+    small = good.select("session", "page", "key", "w", "h", F.octet_length("image").alias("a"), F.octet_length("text").alias("b")).withColumn("nth", nth)
+    small = small.withColumn("first", F.lit(FIXED + 1) + F.col("nth") * EACH)
+    refers = ["<< /Type /Page /Parent 2 0 R /MediaBox [0 0 ", F.col("w"), " ", F.col("h"), "] /Contents ", F.col("first") + 1, " 0 R /Resources << /XObject << /I ", F.col("first"), " 0 R >> /Font << /F1 3 0 R /F2 4 0 R >> >> >>"]
+    small = small.withColumn("node", F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in refers]))
+    own = [whole(F.col("first"), F.col("a")), whole(F.col("first") + 1, F.col("b")), whole(F.col("first") + 2, F.length("node"))]
+    before = Window.partitionBy("session").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    small = small.withColumn("size", own[0] + own[1] + own[2]).withColumn("after", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    starts = F.array(F.col("after"), F.col("after") + own[0], F.col("after") + own[0] + own[1])
+    small = small.withColumn("starts", starts.cast("array<long>"))
+    count = small.groupBy("session").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth", "starts"))), lambda x: x["starts"])).alias("places"))
+    kids = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat((i * EACH + FIXED + EACH).cast("string"), F.lit(" 0 R"))), " ")
+    listed = F.concat(F.lit("<< /Type /Pages /Count "), F.col("n").cast("string"), F.lit(" /Kids ["), kids, F.lit("] >>"))
+    fonts = _fonts(packed)
+    bodies = [F.lit(CATALOGUE), F.encode(listed, "utf-8"), *map(F.lit, fonts)]
+    lengths = [F.lit(len(CATALOGUE)), F.length(listed), *[F.lit(len(f)) for f in fonts]]
+    at, fixed = F.lit(len(HEADER)), []
+    for no, length in enumerate(lengths, 1):
+        fixed.append(at)
+        at = at + whole(F.lit(no), length)
+    count = count.withColumns({"listed": listed, "fixed": F.array(*fixed).cast("array<long>"), "base": at.cast("long")})
+
+    wrapped = lambda no, body: F.concat(F.encode(F.concat(no.cast("string"), F.lit(" 0 obj\n")), "utf-8"), body, F.lit(b"\nendobj\n"))
+    part = lambda no, start, content: F.struct(no.cast("int").alias("no"), start.cast("long").alias("start"), content.alias("content"))
+    every = F.concat("fixed", F.transform("places", lambda x: x + F.col("base")))
+    end = F.col("base") + F.col("total")
+    table = F.array_join(F.transform(every, lambda x: F.concat(F.lpad(x.cast("string"), 10, "0"), F.lit(" 00000 n \n"))), "")
+    objects = F.size(every) + 1
+    tail = F.concat(F.lit("xref\n0 "), objects.cast("string"), F.lit("\n0000000000 65535 f \n"), table, F.lit("trailer << /Size "), objects.cast("string"), F.lit(" /Root 1 0 R >>\nstartxref\n"), end.cast("string"), F.lit("\n%%EOF\n"))
+    bodies[1] = F.encode(F.col("listed"), "utf-8")
+    frame = [part(F.lit(0), F.lit(0), F.lit(HEADER)), *[part(F.lit(no), F.get("fixed", F.lit(no - 1)), wrapped(F.lit(no), body)) for no, body in enumerate(bodies, 1)], part(objects, end, F.encode(tail, "utf-8"))]
+    nothing = [F.lit(None).cast(schema.split("page ")[1].split(",")[0]).alias("page"), F.lit(None).cast("string").alias("error")]
+    around = count.select("session", F.explode(F.array(*frame)).alias("o")).select("session", "o.*", *nothing)
+    drawn = good.select("key", "image", "text").join(small.select("session", "page", "key", "first", "node", "starts"), "key").join(count.select("session", "base"), "session")
+    three = [part(F.col("first") + i, F.get("starts", F.lit(i)) + F.col("base"), wrapped(F.col("first") + i, body)) for i, body in enumerate((F.col("image"), F.col("text"), F.encode("node", "utf-8")))]
+    inner = drawn.select("session", "page", F.explode(F.array(*three)).alias("o")).select("session", "o.*", "page", nothing[1])
+    failed = done.where("error is not null").select("session", F.lit(None).cast("int").alias("no"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("binary").alias("content"), "page", "error")
+    return around.unionByName(inner).unionByName(failed)
+
+
+def pdf_documents(pages: DataFrame) -> DataFrame:
+    """session, pdf and failed (pages left out): the parts of each document put together, one document in memory at a time; pdf is null if all its pages fail. For files of any size take pdf_parts."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own, failed = None, [], []
+
+        def whole() -> pd.DataFrame:
+            return pd.DataFrame({"session": [key], "pdf": [b"".join(own) if own else None], "failed": [failed]})
+
+        for pdf in batches:
+            for session, no, content, page in pdf.itertuples(index=False):
+                if (own or failed) and session != key:
+                    yield whole()
+                    own, failed = [], []
+                key = session
+                own.append(content) if content is not None else failed.append(int(page))
+        if own or failed:
+            yield whole()
 
     kind = pages.schema["session"].dataType.simpleString()
-    ready = pdf_pages(pages.where("session is not null and image is not null"))
-    return ready.repartition("session").sortWithinPartitions("session", "page").mapInPandas(write, f"session {kind}, pdf binary")
+    parts = pdf_parts(pages).select("session", "no", "content", "page")
+    return parts.repartition("session").sortWithinPartitions("session", "no", "page").mapInPandas(join, f"session {kind}, pdf binary, failed array<int>")

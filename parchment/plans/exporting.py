@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..operators import exports, sessions, text_lines
-from ..sources import preferences
+from ..sources import files, preferences
+from ..sources.shared import shared_folder
 from .inputs import CTC_SQL, LETTERS, WORDS_SQL, ctc_steps, ocr_words, table, word_pages
 from .pages import _images
 from .registry import query
@@ -109,6 +112,21 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.html_documents(word_pages(spark, sf_dir)).select("session", F.md5("html").alias("html_md5"))
 
 
+_FILE = "'Scan_' || strftime(DATE '2024-01-01' + (s.session % 365)::INT, '%Y%m%d_%H%M%S') || '_' || s.session || '_' || lpad((s.page + 1)::VARCHAR, 3, '0') || '.html'"
+
+
+@query(_HTML + f"SELECT {_FILE} AS file_name, CASE WHEN c.text IS NOT NULL THEN strlen(part) END AS bytes, CASE WHEN c.text IS NULL THEN 'no text' END AS error FROM shown s JOIN conversations c ON c.conv_id = s.session AND c.turn = s.page")
+def exported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each page, named by its session's one time stamp and its number, and an error for each page without text; what the writer says of them."""
+    p = word_pages(spark, sf_dir)
+    part = exports.html_page(F.col("page"), F.col("words"), F.col("width"), F.col("height"))
+    stamp = naming.time_stamp(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("session") % 365).cast("int")).cast("timestamp"))
+    name = F.concat(F.lit("Scan_"), stamp, F.lit("_"), F.col("session").cast("string"), F.lit("_"), F.lpad((F.col("page") + 1).cast("string"), 3, "0"), F.lit(".html"))
+    known = F.col("words").isNotNull()
+    ready = p.select(name.alias("file_name"), F.when(known, F.encode(part, "utf-8")).alias("content"), F.when(~known, "no text").alias("error"))
+    return files.write_files(ready, f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}", error_col="error")
+
+
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html || ' it''s', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped FROM pages""")
 def escaped_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", exports.escape_html(F.concat("html", F.lit(" it's"))).alias("escaped"))
@@ -123,10 +141,43 @@ def pdf_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("session", "page", "word_no", "at.text", *[F.round(f"at.{c}", 6).alias(c) for c in ("x", "y", "size")])
 
 
+def _pictured(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    """Pages with an image each."""
+    small = _images(spark, sf_dir).withColumnRenamed("image_id", "_i")
+    count = small.agg(F.count("*")).scalar()
+    return pages.withColumn("_i", (F.col("session") * 31 + F.col("page")) % count).join(small, "_i")
+
+
 @query()
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A PDF for each session: images with a text layer."""
-    small = _images(spark, sf_dir).withColumnRenamed("image_id", "_i")
-    p = word_pages(spark, sf_dir).withColumn("_i", (F.col("session") * 31 + F.col("page")) % small.count())
-    done = exports.pdf_documents(p.join(small, "_i"))
+    done = exports.pdf_documents(_pictured(spark, sf_dir, word_pages(spark, sf_dir)))
     return done.select("session", F.octet_length("pdf").alias("bytes"), F.sha2("pdf", 256).alias("sha256"))
+
+
+def _length_of(body: str) -> int:
+    return len(exports._stream("", body.encode(), False))
+
+
+_IMAGE_OBJECT = len(exports._stream("/Type /XObject /Subtype /Image /Width 32 /Height 24 /ColorSpace /DeviceRGB /BitsPerComponent 8", bytes(32 * 24 * 3), False))
+_TEXT_OBJECT = _length_of("q 32 0 0 24 0 0 cm /I Do Q\nBT 3 Tr\nET")
+_FIXED = ", ".join(f"({no}, {len(body)})" for no, body in [(1, exports.CATALOGUE), *enumerate(exports._fonts(False), 3)])
+
+
+@query(f"""WITH pages AS (SELECT conv_id AS session, turn::INT AS page, (conv_id + turn) % 11 = 0 AS failed FROM conversations), good AS (SELECT session, page, row_number() OVER (PARTITION BY session ORDER BY page) - 1 AS nth FROM pages WHERE NOT failed),
+counts AS (SELECT session, count(*) AS n, string_agg((nth * 3 + 10)::VARCHAR || ' 0 R', ' ' ORDER BY nth) AS kids FROM good GROUP BY session),
+objects AS (SELECT session, no, len, NULL::INT AS page FROM counts, (VALUES {_FIXED}) f(no, len) UNION ALL SELECT session, 2, length('<< /Type /Pages /Count ' || n || ' /Kids [' || kids || '] >>'), NULL FROM counts
+  UNION ALL SELECT session, 8 + nth * 3 + i, CASE i WHEN 0 THEN {_IMAGE_OBJECT} WHEN 1 THEN {_TEXT_OBJECT} ELSE length('<< /Type /Page /Parent 2 0 R /MediaBox [0 0 32 24] /Contents ' || (9 + nth * 3) || ' 0 R /Resources << /XObject << /I ' || (8 + nth * 3) || ' 0 R >> /Font << /F1 3 0 R /F2 4 0 R >> >> >>') END, page FROM good, range(3) r(i)),
+sized AS (SELECT session, no, page, length(no::VARCHAR) + 15 + len AS size FROM objects), ends AS (SELECT session, 8 + 3 * any_value(n) AS o, 9 + sum(size) AS e FROM sized JOIN counts USING (session) GROUP BY session)
+SELECT session, no::INT AS no, (9 + coalesce(sum(size) OVER (PARTITION BY session ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, size::INT AS size, page, false AS failed FROM sized
+UNION ALL SELECT session, 0, 0, 9, NULL, false FROM counts UNION ALL SELECT session, NULL, NULL, NULL, page, true FROM pages WHERE failed
+UNION ALL SELECT session, o, e, length('xref' || chr(10) || '0 ' || o || chr(10) || '0000000000 65535 f ' || chr(10) || 'trailer << /Size ' || o || ' /Root 1 0 R >>' || chr(10) || 'startxref' || chr(10) || e || chr(10) || '%%EOF' || chr(10)) + 20 * (o - 1), NULL, false FROM ends""")
+def pdf_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each object of each session's document begins, and which pages failed: every eleventh image is too short for its size."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").cast("int").alias("page"))
+    known = _pictured(spark, sf_dir, turns)
+    data = F.when((F.col("session") + F.col("page")) % 11 == 0, F.substring("image.data", 1, 100)).otherwise(F.col("image.data"))
+    word = "array<struct<text:string,confidence:double,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"
+    bare = known.withColumns({"image": F.col("image").withField("data", data), "words": F.lit(None).cast(word), "width": F.lit(None).cast("double"), "height": F.lit(None).cast("double")})
+    parts = exports.pdf_parts(bare, packed=False)
+    return parts.select("session", "no", "start", F.octet_length("content").alias("size"), "page", F.col("error").isNotNull().alias("failed"))

@@ -1,4 +1,4 @@
-"""Reading images, and writing PNG and other files."""
+"""Reading images, and PNG; files are in .files."""
 
 from __future__ import annotations
 
@@ -75,30 +75,3 @@ def encoded(image: Column, encode: Callable[[np.ndarray], bytes] = png_bytes) ->
         return pd.DataFrame(done, columns=["content", "error"])
 
     return F.pandas_udf(run, "content binary, error string")(image.cast(IMAGE))
-
-
-def write_files(files: DataFrame, folder: str, name_col: str = "file_name", content_col: str = "content") -> DataFrame:
-    """Puts each row's bytes under its name into ``folder``, which all executors must share; returns file_name, bytes, error.
-
-    The files are written by an action on the result. A file appears whole or not at all, so a task that runs again does no harm.
-    """
-
-    def put(batches):
-        import os
-        import uuid
-
-        os.makedirs(folder, exist_ok=True)
-        for pdf in batches:
-            done = []
-            for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                try:
-                    own = os.path.join(folder, f".{uuid.uuid4().hex}")
-                    with open(own, "wb") as f:
-                        f.write(content)
-                    os.replace(own, os.path.join(folder, os.path.basename(name)))
-                    done.append((name, len(content), None))
-                except (OSError, TypeError) as e:
-                    done.append((name, None, str(e)[:200]))
-            yield pd.DataFrame(done, columns=["file_name", "bytes", "error"]).astype({"bytes": "Int64"})
-
-    return files.select(F.col(name_col).alias("name"), F.col(content_col).alias("content")).mapInPandas(put, "file_name string, bytes long, error string")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchment.operators import corners, exports, page_images, pixels, sessions, text_boxes, text_lines
+from parchment.sources import files
 from parchment.sources import images as sources
 
 
@@ -138,7 +139,7 @@ def test_png_round_trip(spark):
 def test_reading_and_writing_files(spark, tmp_path):
     a = np.random.default_rng(5).integers(0, 256, (6, 4, 3)).astype(np.uint8)
     df = spark.createDataFrame([("a.png", image(a)), ("b.png", None)], f"file_name string, image {page_images.IMAGE}").withColumn("e", sources.encoded(F.col("image")))
-    done = sources.write_files(df.select("file_name", "e.content"), str(tmp_path)).collect()
+    done = files.write_files(df.select("file_name", "e.*"), str(tmp_path), error_col="error").collect()
     assert [r["error"] is None for r in sorted(done, key=lambda r: r["file_name"])] == [True, False]
     (tmp_path / "junk.png").write_bytes(b"no image")
     got = {r["path"].rsplit("/", 1)[1]: r for r in sources.read_images(spark, str(tmp_path)).collect()}
@@ -253,7 +254,45 @@ def test_pdf(spark):
     streams = [zlib.decompress(s.split(b"\nendstream")[0]) for s in done[1].split(b"stream\n")[1::2] if s[:1] == b"x"]
     assert any(b"8.000 Tf 1 0 0 1 1.000 8.000 Tm (hi \\(there\\)) Tj" in s for s in streams)
     start = int(done[1].rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
-    assert done[1][start : start + 4] == b"xref"
+    assert done[1][start : start + 4] == b"xref" and len(pdf_table(done[1])) == 13 and len(pdf_table(done[2])) == 10
+
+
+def pdf_table(pdf):
+    """The places in the table of a document, each of which has to be its object's."""
+    at = int(pdf.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    lines = pdf[at:].split(b"\n")
+    assert lines[0] == b"xref" and lines[2] == b"0000000000 65535 f "
+    n = int(lines[1].split()[1])
+    places = [int(x.split()[0]) for x in lines[3 : 2 + n]]
+    assert all(pdf[p:].startswith(b"%d 0 obj\n" % no) for no, p in enumerate(places, 1)) and f"/Size {n} ".encode() in pdf[at:]
+    return places
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_in_parts(spark, packed):
+    """Parts follow each other byte by byte; failed pages are told of, and others go on; no part is larger than a page."""
+    rng = np.random.default_rng(2)
+    bad = {"height": 9, "width": 9, "channels": 3, "data": b"short"}
+    rows = [(1, i, image(rng.integers(0, 256, (3, 4, 3)))) for i in range(120)] + [(2, 0, bad), (2, 1, image(np.ones((2, 2, 1)))), (2, 1, image(np.ones((2, 2, 1)))), (2, 3, None), (3, 0, bad), (None, 0, image(np.ones((1, 1, 1)))), (None, 1, None)]
+    df = spark.createDataFrame(rows, f"session long, page int, image {page_images.IMAGE}")
+    pages = df.withColumns({"words": F.lit(None).cast("array<struct<text:string,confidence:double,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"), "width": F.lit(None).cast("double"), "height": F.lit(None).cast("double"), "key": F.lit("mine"), "no": F.lit("mine"), "first": F.lit("mine")})
+    parts = exports.pdf_parts(pages, packed).toPandas()
+    errors = parts[parts["no"].isna()]
+    assert sorted(zip(errors["session"], errors["page"], strict=True)) == [(2, 0), (2, 3), (3, 0)] and errors["error"].notna().all()
+    for session, n in ((1, 120), (2, 2)):
+        own = parts[(parts["session"] == session) & parts["no"].notna()].sort_values("no")
+        assert own["no"].tolist() == list(range(7 + 3 * n + 2))
+        at = 0
+        for start, content in zip(own["start"], own["content"], strict=True):
+            assert start == at
+            at += len(content)
+        pdf = b"".join(own["content"])
+        assert len(pdf_table(pdf)) == 7 + 3 * n and f"/Count {n} ".encode() in pdf and pdf.count(b"/Type /Page ") == n
+    assert set(parts["session"]) == {1, 2, 3} and parts["content"].dropna().map(len).max() < 20000
+    if packed:
+        done = {r["session"]: r for r in exports.pdf_documents(pages).collect()}
+        assert bytes(done[2]["pdf"]) == pdf and done[2]["failed"] == [0, 3] and done[3]["pdf"] is None and done[3]["failed"] == [0] and not done[1]["failed"]
+        assert exports.pdf_parts(pages.limit(0)).count() == 0 and exports.pdf_documents(pages.limit(0)).count() == 0
 
 
 def test_images_are_measured_within_their_corners(spark):
@@ -300,7 +339,7 @@ def test_pdf_text_of_any_script():
 
     image = {"height": 2, "width": 2, "channels": 1, "data": bytes(4)}
     placed = [{"text": t, "x": 1.0, "y": 2.0, "size": 4.0} for t in ("plain (word)", "日本語の文字", "emoji 😀")]
-    pdf = exports.pdf_bytes([{"image": image, "size": {"width": 2, "height": 2}, "placed": placed}])
+    pdf = b"\n".join([*exports._fonts(True), *exports._drawn({"image": image, "size": {"width": 2, "height": 2}, "placed": placed}, True)])
     streams = [zlib.decompress(m) for m in re.findall(rb"stream\n(.*?)\nendstream", pdf, re.S)]
     layer = next(s for s in streams if b"BT 3 Tr" in s)
     found = [bytes.fromhex(h.decode()).decode("utf-16-be") for h in re.findall(rb"/F2 [^<]*<([0-9a-f]+)> Tj", layer)]
