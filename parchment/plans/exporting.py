@@ -52,12 +52,17 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREFS = "prefs AS (SELECT event_type || user_id AS key, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN '{not-json' WHEN event_id % 89 = 0 THEN NULL ELSE props END AS value FROM events)"
 
 
+def preference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, seq and value of a log of preferences, some of them malformed or missing."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), i.alias("seq"), F.when(i % 97 == 0, "{not-json").when(i % 89 == 0, None).otherwise(F.col("props")).alias("value"))
+
+
 @query(f"""WITH {_PREFS}, newest AS (SELECT key, arg_max_null(value, seq) AS value FROM prefs GROUP BY key)
 SELECT key, CASE WHEN json_valid(value) THEN value ELSE 'true' END AS value, coalesce(CASE WHEN json_valid(value) THEN json_extract_string(value, '$.k')::INT END, -1) AS k FROM newest""")
 def latest_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last value written for each key; missing and malformed ones give the default."""
-    i = F.col("event_id")
-    log = table(spark, sf_dir, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), i.alias("seq"), F.when(i % 97 == 0, "{not-json").when(i % 89 == 0, None).otherwise(F.col("props")).alias("value"))
+    log = preference_log(spark, sf_dir)
     newest = preferences.latest(log).withColumn("value", preferences.load_json(F.col("value"), "true"))
     return newest.select("key", "value", F.coalesce(F.get_json_object("value", "$.k").cast("int"), F.lit(-1)).alias("k"))
 
