@@ -19,20 +19,22 @@ CODE_WORDS = "account|address|class|commit|config|copy|data|date|default|documen
 #: So many of the corpus' most frequent words are the dictionary, and so many neighbouring words of findings have odds of their own.
 DICTIONARY_WORDS, CONTEXT_WORDS = 1000, 200
 #: Private key blocks, and web tokens of three parts: each one candidate as a whole.
-BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]{0,16384}?-----END [A-Z ]{0,40}PRIVATE KEY-----|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
+BLOCK = r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----[A-Za-z0-9+/=\s:,.\\-]*?-----END [A-Z ]*+(?<=PRIVATE KEY)-----|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
 ASSIGNED = r"(?i)(?:secret|passw(?:or)?d|pwd|token|api[_-]?key|auth|credential|private)[A-Za-z_-]*[\"']?\s*[:=]\s*[\"']?$"
 NAMED = r"(?i)secret|passw|pwd|token|key|auth|credential|private"
 INNOCENT = r"(?i)(?:commit|sha-?[0-9]+|md5|digest|checksum|uuid|id|version|isbn|order|number|example|sample)[\"']?[\s:=#]*[\"']?$"
 KNOWN = r"(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[abp]-)"
 PREFIX = f"^{KNOWN}"
 _KEY = r"(?i:secret|passw(?:or)?d|pwd|token|api[_-]?key|auth|credential|private)"
-_FRONT = _KEY + r"[A-Za-z_-]{0,20}[\"']?\s{0,6}[:=]\s{0,6}"
+_FRONT = _KEY + r"[A-Za-z_-]*+[\"']?\s*+[:=]\s*+(?:(?i:bearer|basic)\s++)?"
+#: What stands before a password in an address.
+_ADDRESS = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@\"']*+:"
 _PREFIXED = rf"(?<![A-Za-z0-9+/_-]){KNOWN}[A-Za-z0-9+/_-]*"
-#: What is assigned, whatever its signs and length, with what it is assigned to: up to the same quote, or else to a space, quote or one of ,;&<>. And what has a known prefix.
-VALUE = rf"{_FRONT}(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|[\"']?[^\s\"'`,;&<>]*[^\s\"'`,;&<>.)\]}}])|{_PREFIXED}"
+#: What is assigned, whatever its signs and length, with what it is assigned to: up to the same quote, or else to a space, quote or one of ,;&<>. A password in an address, and what has a known prefix.
+VALUE = rf"{_FRONT}(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|[\"']?[^\s\"'`,;&<>]*[^\s\"'`,;&<>.)\]}}])|{_ADDRESS}[^\s/@\"']+(?=@)|{_PREFIXED}"
 #: The part of such a match before the value, and behind it.
-FRONT, BACK = rf"^{_FRONT}[\"']?", r"[\"']$"
-VALUED = rf"{_KEY}[A-Za-z_-]*[\"']?\s*[:=]|{KNOWN}"
+FRONT, BACK = rf"^(?:{_FRONT}[\"']?|{_ADDRESS})", r"[\"']$"
+VALUED = rf"{_KEY}[A-Za-z_-]*+[\"']?\s*+[:=]|{KNOWN}|://[^\s/:@]*+:[^\s/@]+@"
 #: Runs that are like any word of a text. Without a context that speaks for a secret they are not proposed.
 ONE_WORD = "^(?:[A-Z]?[a-z]+|[A-Z]+)$"
 FEATURES = ["length", "digits", "upper", "runs", "turns", "distinct", "hex", "numeric", "dashes", "coverage", "assigned", "named", "innocent", "prefix", "block", "quoted", "word_before", "word_after", "test_path", "repeats", "signs"]
@@ -56,10 +58,10 @@ def _features(hit: Column, before: Column, after: Column, path: Column, dictiona
     n = F.length(hit).cast("double")
     share = lambda pattern: F.regexp_count(hit, F.lit(pattern)) / n
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    known = F.split(F.lit(" ".join(dictionary)), " ")
+    words = {*dictionary, *CODE_WORDS.split("|")}
     # Runs of letters, cut before capitals too.
     runs = F.transform(F.regexp_extract_all(hit, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), F.lower)
-    readable = F.aggregate(F.filter(runs, lambda w: (F.length(w) >= 4) & (F.array_contains(known, w) | w.rlike(CODE_WORDS))), F.lit(0), lambda a, w: a + F.length(w))
+    readable = F.aggregate(F.filter(runs, lambda w: (F.length(w) >= 4) & w.isin(*words)), F.lit(0), lambda a, w: a + F.length(w))
     return {
         "length": n,
         "digits": share("[0-9]"),

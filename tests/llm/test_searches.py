@@ -110,6 +110,19 @@ def test_secrets(spark):
     assert got["score"].between(0, 1).all() and set(got["is_secret"]) == {True, False}
 
 
+def test_candidates_of_any_length(spark):
+    """Long key blocks are one candidate; long names, wide gaps, addresses and headers hide no value."""
+    body = "\n".join("aB3/" * 16 for _ in range(600))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [(f"x {block} y", block), ('password_for_the_production_database = "p@ss w!rd"', "p@ss w!rd"), ("password          =           hunter!two", "hunter!two"), ("use postgres://admin:S3cr3t!pw@host/db now", "S3cr3t!pw"), ("Authorization: Bearer abc!def!ghi", "abc!def!ghi"), ("-----BEGIN PRIVATE KEY----- and nothing after", None), ("token" * 2000, None), ("a://b:c d", None)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i long, text string")
+    found = {}
+    for r in secrets.candidates(rows, "text", None, ["i"]).collect():
+        found.setdefault(r.i, []).append(texts[r.i][0][r.s : r.e])
+    assert all(want in found.get(i, []) for i, (_, want) in enumerate(texts) if want) and found[0] == [block]
+    assert 7 not in found
+
+
 def test_secrets_on_held_out_findings(spark):
     """Trained on some made-up findings, the forest tells the others."""
     made = secrets.sample_findings(spark, 3000)
@@ -144,7 +157,7 @@ def plain_features(hit, before, after, path, dictionary):
     """Features by the definition, for signs of one candidate."""
     n, has = len(hit), lambda pattern, text: float(re.search(pattern, text or "") is not None)
     runs = [w.lower() for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", hit)]
-    readable = sum(len(w) for w in runs if len(w) >= 4 and (w in dictionary or re.search(secrets.CODE_WORDS, w)))
+    readable = sum(len(w) for w in runs if len(w) >= 4 and (w in dictionary or w in secrets.CODE_WORDS.split('|')))
     count = lambda pattern: len(re.findall(pattern, hit)) / n
     return {
         "length": n, "digits": sum(c.isdigit() for c in hit) / n, "upper": sum(c.isupper() for c in hit) / n, "runs": count("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"),
