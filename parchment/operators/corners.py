@@ -53,6 +53,17 @@ def choose_outputs(names: Sequence[str]) -> tuple[str, str] | None:
     return (names[0], names[1]) if len(names) > 1 else None
 
 
+def output_roles(names: Column) -> Column:
+    """choose_outputs for an array of names: struct(coords, score), null with fewer than two names."""
+    last = lambda own: F.element_at(F.filter(names, own), -1)
+    coords = F.when(F.exists(names, lambda n: n.contains("coord")), last(lambda n: n.contains("coord")))
+    scored = lambda n: ~n.contains("coord") & (n.contains("score") | n.contains("logit"))
+    score = F.when(F.exists(names, scored), last(scored))
+    both = coords.isNotNull() & score.isNotNull()
+    pair = F.struct(F.when(both, coords).otherwise(F.get(names, F.lit(0))).alias("coords"), F.when(both, score).otherwise(F.get(names, F.lit(1))).alias("score"))
+    return F.when(F.size(names) > 1, pair)
+
+
 def input_tensor(pixels: np.ndarray, side: int = INPUT_SIDE) -> np.ndarray:
     """[1, side, side, 3], stretched and normalised by channel."""
     small = resized(pixels[..., :3], side, side).astype(np.float64)

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import capture, drawing, exporting, geometry, pages, regions, upkeep  # noqa: E402, F401
+from . import capture, choices, drawing, exporting, geometry, pages, regions, upkeep  # noqa: E402, F401

@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions import geometry as g
 from ..functions.capture_quality import LIMITS
+from ..operators.corners import STRICT_SHAPE
 
 DETECT_MS, TIMEOUT_MS, SCORE_MS, KEEP_MS, SLEEP_MS = 300, 2000, 50, 800, 30_000
 SMOOTHING, JUMP, RING = 0.35, 0.12, 8
@@ -304,3 +306,22 @@ def shutter_choice(frames: DataFrame, detected: DataFrame) -> DataFrame:
     last = detected.groupBy("session").agg(F.max_by(F.struct("best_seq", "seq"), F.struct("frame_ms", "seq")).alias("l"))
     chosen = last.select("session", F.coalesce("l.best_seq", "l.seq").alias("seq"), F.when(F.col("l.best_seq").isNotNull(), "best").otherwise("current").alias("source"))
     return chosen.join(frames.select("session", "seq", "w", "h"), ["session", "seq"]).select("session", "seq", "source", "w", "h")
+
+
+def shutter_captures(frames: DataFrame, detected: DataFrame, buffered: int = 1920, captured: int = 1600) -> DataFrame:
+    """session, seq, source, size and corners of what a shutter press at each session's end takes.
+
+    The best recent frame comes as it was buffered, with its steady corners, both reduced to ``buffered`` pixels. Without one the last frame is reduced to ``captured``
+    pixels and its own corners count if they are strictly a page; else, and if none were seen, those of a page in the middle.
+    """
+    chosen = shutter_choice(frames, detected)
+    steady = detected.select("session", "seq", "corners")
+    seen = frames.select("session", "seq", F.when(F.col("outcome") == "hit", F.col("quad")).alias("quad"))
+    known = chosen.join(steady, ["session", "seq"], "left").join(seen, ["session", "seq"], "left").dropDuplicates(["session"])
+    best = F.col("source") == "best"
+    size = F.when(best, g.fit_within(F.col("w"), F.col("h"), buffered)).otherwise(g.fit_within(F.col("w"), F.col("h"), captured))
+    sized = known.withColumn("size", size)
+    fx, fy = F.col("size.width") / F.col("w"), F.col("size.height") / F.col("h")
+    own = F.when(best, F.col("corners")).otherwise(F.when(g.is_valid_shape(F.col("quad"), *STRICT_SHAPE), F.col("quad")))
+    corners = F.coalesce(g.scale_quad(own, fx, fy), g.default_corners(F.col("size.width"), F.col("size.height")))
+    return sized.select("session", "seq", "source", "size", corners.alias("corners"))

@@ -146,3 +146,11 @@ def test_names(spark):
     hosts = ["localhost", "127.0.0.1", "192.168.1.2", "172.200.0.1", "10.1.1.1", "a.local", "example.com"]
     assert values(spark, [naming.is_local_host(F.lit(h)) for h in hosts]) == [True] * 6 + [False]
     assert value(spark, naming.export_key(F.array(F.lit(5), F.lit(7)), F.array(F.lit(1)))) == "2:5,7:1"
+
+
+def test_roles_of_model_outputs(spark):
+    from parchment.operators import corners
+
+    cases = [["coords", "score"], ["b", "a"], ["score", "x", "coord_logit"], ["coord1", "coord2"], ["one"], [], None, ["logits", "coords", "score", "coords2"]]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, names array<string>").select("i", corners.output_roles(F.col("names")).alias("r")).orderBy("i").collect()
+    assert [None if r["r"] is None else tuple(r["r"]) for r in got] == [None if c is None else corners.choose_outputs(c) for c in cases]

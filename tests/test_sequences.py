@@ -113,6 +113,21 @@ def test_sessions_end(spark):
     assert [r["asleep"] for r in rows] == [True, True, False]
 
 
+def test_shutter_takes_reduced_frames_and_corners(spark):
+    wide = lambda s, q, outcome: (s, 0, 400.0, outcome, q, 3840.0, 2160.0, 900.0, 150.0, 0.1)
+    quad = [{"x": 6 * p["x"], "y": 4 * p["y"]} for p in PAGE]
+    odd = [dict(quad[0]), dict(quad[1]), {"x": 1000.0, "y": 1800.0}, dict(quad[3])]
+    # A frame too early to be asked for has no steady corners, and so no best one.
+    early = lambda s, q, outcome: (s, 0, 200.0, *wide(s, q, outcome)[3:])
+    frames = spark.createDataFrame([wide(1, quad, "hit"), early(2, quad, "hit"), early(3, odd, "hit"), early(4, None, "miss"), early(5, quad, "error")], d.FRAME)
+    got = {r["session"]: r for r in d.shutter_captures(frames, d.detect_frames(frames)).collect()}
+    assert [got[k]["source"] for k in range(1, 6)] == ["best", *["current"] * 4]
+    assert tuple(got[1]["size"]) == (1920, 1080) and got[1]["corners"][2]["x"] == 1500 and got[1]["corners"][2]["y"] == 860
+    assert tuple(got[2]["size"]) == (1600, 900) and got[2]["corners"][2]["x"] == 1250
+    middle = [tuple(p) for p in got[3]["corners"]]
+    assert middle == [tuple(p) for p in got[4]["corners"]] == [tuple(p) for p in got[5]["corners"]] and middle[0][0] + middle[1][0] == 1600
+
+
 def events(spark, rows):
     return spark.createDataFrame([(1, i, *r, *[None] * (4 - len(r))) for i, r in enumerate(rows)], "session long, seq long, action string, mode string, enable_ocr boolean, ocr_text string")
 
