@@ -108,6 +108,28 @@ def resized_pixels(images: DataFrame, pixels: DataFrame, values: Sequence[str] =
     return gathered(places.withColumns({"u": along("x", "_ww", "src_w"), "v": along("y", "_hh", "src_h")}), pixels, values, keys=keys)
 
 
+def region_pixels(regions: DataFrame, pixels: DataFrame, values: Sequence[str] = ("r", "g", "b"), roi_col: str = "roi", keys: Sequence[str] = KEYS, source_keys: Sequence[str] | None = None) -> DataFrame:
+    """keys, y, x and values of what is cut out at ``roi_col`` (functions.geometry.document_roi), brought to its size. What lies beyond the image is cut off."""
+    r = F.col(roi_col)
+    known = regions.select(*dict.fromkeys([*keys, *(source_keys or keys)]), "src_w", "src_h", *[r[n].alias(f"_{n}") for n in ("sx", "sy", "sw", "sh", "dw", "dh")])
+    known = known.withColumns({"_cw": F.least("_sw", F.col("src_w") - F.col("_sx")), "_ch": F.least("_sh", F.col("src_h") - F.col("_sy"))}).where("_cw > 0 and _ch > 0")
+    places = _places(known, F.col("_dw"), F.col("_dh"))
+    along = lambda c, n, of, at: F.col(at) + F.greatest(F.lit(0.0), F.least(F.col(of) - 1.0, (F.col(c) + 0.5) * F.col(of) / F.col(n) - 0.5))
+    return gathered(places.withColumns({"u": along("x", "_dw", "_cw", "_sx"), "v": along("y", "_dh", "_ch", "_sy")}), pixels, values, keys=keys, source_keys=source_keys)
+
+
+def assess_documents(pages: DataFrame, pixels: DataFrame, most: int = 320, corners_col: str = "corners", id_col: str = "page_id", source_keys: Sequence[str] = KEYS) -> DataFrame:
+    """id, focus, luma, dark_ratio, level and reasons of each page within its corners, or of its whole image where they give no region.
+
+    ``pages`` has an id, source_keys, corners, src_w and src_h; ``pixels`` r, g and b. Pages without pixels have no row.
+    """
+    w, h = F.col("src_w"), F.col("src_h")
+    roi = F.coalesce(g.document_roi(F.col(corners_col), w, h, most), g.whole_frame_roi(w, h, most))
+    cut = region_pixels(pages.withColumn("_roi", roi), pixels, roi_col="_roi", keys=(id_col,), source_keys=source_keys)
+    gray = cut.select(id_col, "y", "x", px.gray(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+    return px.assess_images(gray, image_col=id_col)
+
+
 def line_pixels(lines: DataFrame, pixels: DataFrame, values: Sequence[str] = ("v",), box_col: str = "box", keys: Sequence[str] = ("image_id", "line_no"), source_keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, y, x and values of text lines cut out and made level; those higher than wide are turned right by 90 degrees.
 

@@ -10,6 +10,7 @@ from ..functions.jsnum import bind
 from ..operators import gather, pixels
 from .geometry import sql_sorted
 from .inputs import PAGE_SIZES_SQL, PAGES_SQL, QUADS_SQL, page_pixels, page_sizes, quads
+from .pages import _LAP, _METRICS
 from .registry import query
 
 # ---- the same in SQL ------------------------------------------------------------------------------------------------
@@ -188,3 +189,24 @@ def prepared_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     gray = own.select("image_id", "y", "x", pixels.gray(F.col("r"), F.col("g"), F.col("b")).alias("v"))
     small = gather.resized_pixels(page_sizes(own).withColumn("size", g.fit_within(F.col("src_w"), F.col("src_h"), 50)), gray, ["v"])
     return pixels.sharpened_for_ocr(small).select("image_id", "y", "x", "v")
+
+
+_WITHIN = f"""boxes AS (SELECT *, greatest(0, least(x0, x1, x2, x3)) AS bx, least(src_w, greatest(x0, x1, x2, x3)) AS ex, greatest(0, least(y0, y1, y2, y3)) AS by_, least(src_h, greatest(y0, y1, y2, y3)) AS ey FROM sorted_quads),
+spans AS (SELECT *, ex - bx AS bw, ey - by_ AS bh, ex - bx >= 16 AND ey - by_ >= 16 AS own FROM boxes),
+rects AS (SELECT *, CASE WHEN own THEN floor(bx + bw * 0.08::DOUBLE) ELSE 0 END AS sx, CASE WHEN own THEN floor(by_ + bh * 0.08::DOUBLE) ELSE 0 END AS sy, CASE WHEN own THEN greatest(8, floor(bw - bw * 0.08::DOUBLE * 2)) ELSE src_w END AS sw, CASE WHEN own THEN greatest(8, floor(bh - bh * 0.08::DOUBLE * 2)) ELSE src_h END AS sh FROM spans),
+cuts AS (SELECT *, least(sw, src_w - sx) AS cw, least(sh, src_h - sy) AS ch, CASE WHEN greatest(sw, sh) <= 24 THEN sw WHEN own AND sw > sh THEN 24 WHEN own THEN round(sw * 24 / sh) ELSE greatest(1, round(sw * (24.0::DOUBLE / greatest(sw, sh)))) END AS dw,
+  CASE WHEN greatest(sw, sh) <= 24 THEN sh WHEN own AND sw > sh THEN round(sh * 24 / sw) WHEN own THEN 24 ELSE greatest(1, round(sh * (24.0::DOUBLE / greatest(sw, sh)))) END AS dh FROM rects),
+places AS (SELECT image_id * 8 + q AS page, image_id, y::INT AS y, x::INT AS x, sx + greatest(0, least(cw - 1, (x + 0.5::DOUBLE) * cw / dw - 0.5::DOUBLE)) AS u, sy + greatest(0, least(ch - 1, (y + 0.5::DOUBLE) * ch / dh - 0.5::DOUBLE)) AS v FROM cuts, range(24) a(y), range(24) b(x) WHERE y < dh AND x < dw), {_sql_taps("places")},
+cut_px AS (SELECT page, y, x, {", ".join(_sql_drawn(n, True) for n in "rgb")} FROM taps JOIN images USING (image_id)),
+gray_px AS (SELECT page AS image_id, y, x, least(255, greatest(0, round_even(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE, 0)))::INT AS v FROM cut_px)"""
+
+
+@query(f"""WITH {_PAGE_CORNERS}, {_lists("page_px", "r", "g", "b")}, {_WITHIN}, {_LAP}, {_METRICS}, judged AS (SELECT *, luma < 105 OR dark > 0.42 AS d, luma < 72 OR dark > 0.62 AS dd, focus < 320 AS b, focus < 140 AS bb FROM metrics)
+SELECT image_id AS page_id, round(focus, 4) AS focus, round(luma, 6) AS luma, round(dark, 6) AS dark_ratio, CASE WHEN dd OR bb OR (d AND b) THEN 'poor' WHEN d OR b THEN 'fair' ELSE 'good' END AS level,
+  concat_ws(',', CASE WHEN d THEN 'dark' END, CASE WHEN b THEN 'blur' END) AS reasons FROM judged""")
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpness, brightness and level of every page within each of its quads, reduced to 24 pixels at most."""
+    own = page_pixels(spark, sf_dir)
+    pages = _corners(spark, sf_dir, page_sizes(own)).withColumn("page_id", F.col("image_id") * 8 + F.col("q"))
+    a = gather.assess_documents(pages, own, most=24)
+    return a.select("page_id", F.round("focus", 4).alias("focus"), F.round("luma", 6).alias("luma"), F.round("dark_ratio", 6).alias("dark_ratio"), "level", F.array_join("reasons", ",").alias("reasons"))

@@ -127,6 +127,23 @@ def test_odd_pixels_and_pages(spark, table, sizes):
     assert gather.enhanced_documents(sizes.limit(0), own.withColumnRenamed("r", "v")).count() == 0
 
 
+def test_quality_within_corners(spark, images, table, sizes):
+    """As on packed images: within the corners, or of the whole image where they are too small or none."""
+    quads = [*quads_of(np.random.default_rng(4), images), *[(k, 3, None) for k in images], *[(k, 4, [(0, 0), (9, 0), (9, 9), (0, 9)]) for k in images], *[(k, 5, [(a.shape[1] - 17, a.shape[0] - 17), (a.shape[1], a.shape[0] - 17), (a.shape[1], a.shape[0]), (a.shape[1] - 17, a.shape[0])]) for k, a in images.items()]]
+    rows = [(10 * k + n, k, None if q is None else [{"x": float(x), "y": float(y)} for x, y in q]) for k, n, q in quads]
+    pages = spark.createDataFrame(rows, f"page_id long, image_id long, corners {QUAD}")
+    got = {r["page_id"]: r for r in gather.assess_documents(pages.join(sizes, "image_id"), table, 20).collect()}
+    packed_ = spark.createDataFrame([(p, page_images.as_image(images[k].astype(np.uint8)), c) for p, k, c in rows], f"image_id long, image {page_images.IMAGE}, corners {QUAD}")
+    w, h = F.col("image.width"), F.col("image.height")
+    roi = F.coalesce(g.document_roi(F.col("corners"), w, h, 20), g.whole_frame_roi(w, h, 20))
+    assert len(got) == len(rows)
+    for r in packed_.select("image_id", "image", roi.alias("r")).collect():
+        c = r["r"]
+        cut = page_images.as_array(r["image"])[c["sy"] : c["sy"] + c["sh"], c["sx"] : c["sx"] + c["sw"]]
+        own = got[r["image_id"]]
+        assert [own["focus"], own["luma"], own["dark_ratio"]] == pytest.approx(page_images.measured(page_images.resized(cut, c["dw"], c["dh"])))
+
+
 def test_perspective(spark):
     rng = np.random.default_rng(1)
     quads = [[(float(x), float(y)) for x, y in np.array([(0, 0), (9, 0), (9, 7), (0, 7)]) + rng.uniform(-2, 2, (4, 2))] for _ in range(40)]
