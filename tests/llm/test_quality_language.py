@@ -316,3 +316,34 @@ def test_ngrams_in_pieces_are_the_same():
     text = "Ein langer Text, mit 12 Zahlen — und Zeichen. " * 30
     assert np.array_equal(language_id.ngram_counts(text), language_id.ngram_counts(text, piece=17))
     assert language_id.ngram_counts("12 !?") is None
+
+
+def test_forest_and_threshold_come_from_all_labelled_rows(spark):
+    """Every labelled row is in the trees and counts for the threshold, however few rows a tree takes."""
+    rng = np.random.default_rng(8)
+    docs = pd.DataFrame({"doc_id": range(3000), "text": ["word " * rng.integers(1, 4) + "x" * int(k) for k in rng.integers(1, 90, 3000)]})
+    known = pd.DataFrame({"doc_id": docs["doc_id"], "quality": (docs["doc_id"] % 10 != 0).astype(int)})
+    d, k = spark.createDataFrame(docs), spark.createDataFrame(known)
+    forest, threshold = quality_rules.fit_forest(d, k, trees=10, size=16)
+    # Fewer places in trees than rows: each row is in one tree.
+    assert len(forest.trees) == 10 and forest.size == 300
+    score = quality_rules.scored(forest, [quality_rules.text_counts(t)[1] for t in docs["text"]])
+    good = (known["quality"] == 1).to_numpy()
+    assert threshold == quality_rules.calibrate(score, good, 0.03)
+    rows = quality_rules._measured(d, k, "doc_id", "text")
+    assert rows.count() == 3000
+    # The same rows in another order give the same forest.
+    again = quality_rules.fit_forest(d.repartition(7), k.repartition(3), trees=10, size=16)
+    assert again[1] == threshold and all(np.array_equal(x, y) for a, b in zip(again[0].trees, forest.trees, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_each_row_is_dealt_to_as_many_trees_as_fill_them(spark):
+    stats = [[float(i), 0.0] for i in range(700)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(stats)], "hash long, stats array<double>")
+    seen = quality_rules.grown_forest(rows, 700, trees=20, size=100)
+    assert len(seen.trees) == 20 and seen.size == 105 and len({t[1].tobytes() for t in seen.trees}) == 20
+    # Few rows are in all trees.
+    few = quality_rules.grown_forest(rows.where("hash < 9"), 9, trees=20, size=100)
+    assert few.size == 9 and all(t[3].max() <= 9 for t in few.trees)
+    times = quality_rules.grow_tree(np.array([[1.0], [2.0]]), np.array([5, 1]), 3, np.random.default_rng(1))
+    assert sorted(times[3][times[0] < 0]) == sorted([1 + expected_length(5), 1 + expected_length(1)])
