@@ -157,3 +157,18 @@ def test_perspective(spark):
         u, v, s = want @ [3.0, 4.0, 1.0]
         assert np.allclose([seen[i]["p"]["x"], seen[i]["p"]["y"]], [u / s, v / s])
     assert all(r["m"] is None for r in seen[20:])
+
+
+def test_new_pixels_do_not_move(spark, table, sizes):
+    """What meets the tiles is a row for each block and tile, not one for each new pixel; odd values, and more than one number can pack, are as they were."""
+    big = sizes.withColumn("size", F.struct(F.lit(200).alias("width"), F.lit(150).alias("height")))
+    df = gather.resized_pixels(big, table)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    below = [line for line in plan[plan.index("Join LeftOuter") :].splitlines() if "Aggregate" in line or "Generate" in line]
+    assert "Aggregate" in below[0]
+    many = table.selectExpr("image_id", "y", "x", "r", "g", "b", "cast(r as double) c0", "g - 300 c1", "b * 100 c2")
+    held = {(r["image_id"], r["_ty"], r["_tx"]): r for r in gather.tiles(many, ["r", "g", "b", "c0", "c1", "c2"], 0, 1).where("image_id = 2").collect()}
+    for r in held.values():
+        assert r["_c0"] == r["_r"] and [v - 300 for v in r["_g"]] == r["_c1"] and [v * 100 for v in r["_b"]] == r["_c2"]
+    twice = gather.resized_pixels(big.where("image_id = 3").unionByName(big.where("image_id = 3")), table)
+    assert twice.count() == 2 * 200 * 150
