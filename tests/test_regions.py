@@ -129,3 +129,28 @@ def test_odd_pixels(spark, table):
     assert regions.text_regions(own.withColumn("p", F.lit(None).cast("double"))).count() == 0
     assert regions.text_regions(own.limit(0)).count() == 0
     assert regions.text_regions(own.withColumn("image_id", F.lit(None).cast("long"))).count() in (0, len(want))
+
+
+def test_pixels_move_packed(spark, table):
+    """No single pixel is sent: rows are packed before the first exchange, and names come without rounds of their own."""
+    cells = regions.labelled(table, F.col("p") > 0.3, F.col("p"))
+    packed = regions.packed_rows(table, F.col("p") > 0.3, F.col("p"))
+    n_rows = table.select("image_id", "y").distinct().count()
+    # A row of an image may be cut where a batch ends.
+    assert n_rows <= packed.count() <= n_rows + 40 and packed.agg(F.sum(F.size("x"))).first()[0] == table.count()
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_images_cut_by_batches_keep_their_names(spark, table):
+    """Images that lie in several batches, in any order and with gaps, are named as they are in one."""
+    p = F.col("p")
+    pick = lambda df: sorted(map(tuple, df.select("image_id", "y", "label", "sum", "inner").collect()))
+    want = pick(regions.labelled(table, p > 0.3, p))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        assert pick(regions.labelled(table.orderBy(F.rand(3)), p > 0.3, p)) == want
+    finally:
+        spark.conf.set(name, before)
