@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,35 @@ def blocks_for(nodes: int, distance: int, in_file: float = 0.1) -> int:
     return blocks
 
 
+def _bits(families: list[tuple[int, ...]]) -> int:
+    return max(1, (len(families) - 1).bit_length())
+
+
+def _file_names(fp: Column, families: list[tuple[int, ...]], masks: list[int]) -> tuple[Column, list[str]]:
+    """An array with a struct for each family, the file of ``fp`` and ``view`` in it, and the struct's fields.
+
+    The bits of its blocks side by side, view and family make one long, which takes half the room of three columns where all are sent; where
+    they don't fit, the blocks stay beside it.
+    """
+    width = max(sum(masks[i].bit_count() for i in c) for c in families)
+    view = F.col("view").cast("long")
+    small = width + _bits(families) <= 54
+    files = []
+    for k, c in enumerate(families):
+        # Eight bits of a view at least; any view fits where the blocks stay apart.
+        name = F.shiftleft(view, _bits(families)).bitwiseOR(F.lit(k).cast("long"))
+        if not small:
+            files.append(F.struct(name.alias("file"), fp.bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("block")))
+            continue
+        bits, at = F.lit(0).cast("long"), 0
+        for i in c:
+            n, low = masks[i].bit_count(), (masks[i] & -masks[i]).bit_length() - 1
+            own = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+            bits, at = bits.bitwiseOR(F.shiftleft(own, at)), at + n
+        files.append(F.struct(F.shiftleft(F.shiftleft(view, width).bitwiseOR(bits), _bits(families)).bitwiseOR(F.lit(k).cast("long")).alias("file")))
+    return F.array(*files), ["file"] if small else ["file", "block"]
+
+
 def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None, few: int = 32, chunk: int = 1024) -> DataFrame:
     """Links ``a, b`` that connect whatever nodes have fingerprints of one view that differ in ``distance`` bits or fewer, directly or over others.
 
@@ -109,9 +138,12 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
     blocks = blocks or blocks_for(prints.where("view = 0").count(), distance)
     masks = block_masks(blocks)
     families = list(combinations(range(blocks), blocks - distance))
+    # Nodes of one fingerprint in a view are tied to the smallest of them, and that alone is filed.
+    same = Window.partitionBy("view", "fp").orderBy("node")
+    known = prints.select("node", "fp", "view", F.first("node").over(same).alias("low"))
     fp = F.col("fp")
-    key = ["view", "family", "block"]
-    filed = prints.select("node", fp, "view", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), fp.bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("block")) for k, c in enumerate(families)])).alias("f")).select("node", "fp", "view", "f.family", "f.block")
+    file, key = _file_names(fp, families, masks)
+    filed = known.where("node = low").select("node", fp, F.explode(file).alias("f")).select("node", fp, *[F.col(f"f.{k}") for k in key])
     sizes = filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     shared = filed.join(sizes, key)
     few_a = shared.where(F.col("n") <= few).select(*key, F.col("node").alias("a"), F.col("fp").alias("fa"))
@@ -126,7 +158,7 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
                 test = test & (differ.bitwiseAND(F.lit(_signed(masks[i]))) != 0)
         return test
 
-    one_of = F.element_at(F.array(*[first(c) for c in families]), F.col("family") + 1)
+    one_of = F.element_at(F.array(*[first(c) for c in families]), F.col("file").bitwiseAND(F.lit((1 << _bits(families)) - 1)).cast("int") + 1)
     pairs = few_a.join(few_b, key).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & one_of).select("a", "b")
 
     parts = F.ceil(F.col("n") / chunk).cast("int")
@@ -139,7 +171,8 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
         x, y = _forest(pdf["fp"].to_numpy("int64").view(np.uint64), distance)
         return pd.DataFrame({"a": nodes[x], "b": nodes[y]})
 
-    return pairs.union(many.groupBy(*key, "i", "j").applyInPandas(verify, "a long, b long"))
+    ties = known.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return ties.union(pairs).union(many.groupBy(*key, "i", "j").applyInPandas(verify, "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, blocks: int | None = None) -> DataFrame:

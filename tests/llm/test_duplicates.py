@@ -160,3 +160,24 @@ def test_views_differ():
     a = simhash.fingerprints("one two three four five", 2, 4)
     assert len(set(a)) == 4 and a[0] == simhash.fingerprint("one two three four five", 2)
     assert simhash.fingerprints(None, 2, 3) == [0, 0, 0]
+
+
+def test_files_have_one_name(spark):
+    """What is sent for a file is one number where the blocks fit, and equal fingerprints of a view are filed once; links stay whole either way."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    for blocks, columns in ((6, ["file"]), (9, ["file"]), (64, ["file", "block"])):
+        masks = simhash.block_masks(blocks)
+        families = list(combinations(range(blocks), blocks - (4 if blocks < 64 else 1)))
+        values = [0, -1, 1 << 62, -(1 << 63), 12345678901234567, 12345678901234566]
+        prints = spark.createDataFrame([(v, w) for v in values for w in (0, 7)], "fp long, view int")
+        file, key = simhash._file_names(F.col("fp"), families, masks)
+        assert key == columns
+        rows = prints.select("fp", "view", F.posexplode(file).alias("family", "f")).collect()
+        named = {(tuple(r.f), r.view, r.family, (r.fp & (1 << 64) - 1) & sum(masks[i] for i in families[r.family])) for r in rows}
+        # One name for each view, family and block, and one of these for each name.
+        assert len(named) == len({n[0] for n in named}) == len({n[1:] for n in named})
+    prints = spark.createDataFrame([(5, 9, 0), (3, 9, 0), (8, 9, 0), (8, 77, 1), (1, 77, 1), (2, -5, 1)], "node long, fp long, view int")
+    assert {tuple(sorted((r.a, r.b))) for r in simhash.near_links(prints).collect()} == {(3, 5), (3, 8), (1, 8)}
