@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,6 +89,25 @@ def _forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def _forests(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links ``row, x, y`` of a spanning forest for each row of ``values``: as _forest, for many files of equally many fingerprints at once."""
+    files, size = values.shape
+    tree, found = np.tile(np.arange(size), (files, 1)), []
+    for y in range(1, size):
+        near = np.bitwise_count(values[:, :y] ^ values[:, y, None]) <= distance
+        own = np.flatnonzero(near.any(axis=1))
+        if not own.size:
+            continue
+        known = tree[own, :y]
+        met = (known[:, :, None] == known[:, None, :]) & near[own, None, :]
+        # One link to each tree that y meets, to the first near fingerprint of it; then they are one tree.
+        row, x = np.nonzero(near[own] & (met.argmax(axis=2) == np.arange(y)))
+        found.append(np.stack([own[row], x, np.full(len(row), y)]))
+        tree[own, :y] = np.where(met.any(axis=2), y, known)
+    row, x, y = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return row, x, y
+
+
 def blocks_for(nodes: int, distance: int, in_file: float = 0.1) -> int:
     """The fewest blocks whose files hold ``in_file`` of ``nodes`` random fingerprints or fewer on average; any number finds the same links."""
     blocks = distance + 2
@@ -130,10 +151,10 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
     ``prints`` has long columns ``node`` and ``fp`` and ``view``, distinct. Each fingerprint is filed under every
     union of ``blocks - distance`` blocks, so a close pair meets at least once; by default there are more blocks, and longer
     unions of them, the more fingerprints there are, so that files stay short. Files of up to ``few``
-    fingerprints are joined with themselves, and a pair counts in the first file that it shares. Larger
-    files are dealt into chunks of about ``chunk``; every two chunks meet in a task of bounded size,
-    which verifies them and gives the links of a spanning forest only. So no file gives all its
-    pairs, and no connection is lost.
+    fingerprints are one row each, and many of them are verified at once; a link counts in the first file
+    that it shares. Larger files are dealt into chunks of about ``chunk``; every two chunks meet in a task of
+    bounded size. Either way a file gives the links of a spanning forest only, one fewer than it has fingerprints
+    at most (for large ones: than each two chunks have). So no file gives all its pairs, and no connection is lost.
     """
     blocks = blocks or blocks_for(prints.where("view = 0").count(), distance)
     masks = block_masks(blocks)
@@ -144,22 +165,32 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
     fp = F.col("fp")
     file, key = _file_names(fp, families, masks)
     filed = known.where("node = low").select("node", fp, F.explode(file).alias("f")).select("node", fp, *[F.col(f"f.{k}") for k in key])
-    sizes = filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    shared = filed.join(sizes, key)
-    few_a = shared.where(F.col("n") <= few).select(*key, F.col("node").alias("a"), F.col("fp").alias("fa"))
-    few_b = shared.where(F.col("n") <= few).select(*key, F.col("node").alias("b"), F.col("fp").alias("fb"))
-    differ = F.col("fa").bitwiseXOR(F.col("fb"))
-
-    def first(c: tuple[int, ...]) -> Column:
-        """No block before the last of ``c`` agrees but those of ``c``."""
-        test = F.lit(True)
-        for i in range(c[-1]):
-            if i not in c:
-                test = test & (differ.bitwiseAND(F.lit(_signed(masks[i]))) != 0)
-        return test
-
-    one_of = F.element_at(F.array(*[first(c) for c in families]), F.col("file").bitwiseAND(F.lit((1 << _bits(families)) - 1)).cast("int") + 1)
-    pairs = few_a.join(few_b, key).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & one_of).select("a", "b")
+    shared = filed.withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n > 1")
+    few_of = shared.where(F.col("n") <= few).groupBy(*key).agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+    # A pair is in the first of its files if no block before the last of the family's agrees but those of the family.
+    others = np.array([sum(1 << i for i in range(c[-1]) if i not in c) for c in families], np.uint64)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            family = (batch.column("file").to_numpy() & ((1 << _bits(families)) - 1)).astype(np.int64)
+            starts = batch.column("nodes").offsets.to_numpy()[:-1] - batch.column("nodes").offsets[0].as_py()
+            sizes = batch.column("nodes").value_lengths().to_numpy()
+            nodes, fps = batch.column("nodes").flatten().to_numpy(), batch.column("fps").flatten().to_numpy().view(np.uint64)
+            for size in np.unique(sizes):
+                alike = np.flatnonzero(sizes == size)
+                step = max(1, (1 << 20) // int(size) ** 2)
+                for at in range(0, len(alike), step):
+                    own = alike[at : at + step]
+                    places = starts[own, None] + np.arange(size)
+                    row, x, y = _forests(fps[places], distance)
+                    x, y = places[row, x], places[row, y]
+                    differ, agree = fps[x] ^ fps[y], np.zeros(len(x), np.uint64)
+                    for i, mask in enumerate(masks):
+                        agree |= (differ & np.uint64(mask) == 0).astype(np.uint64) << np.uint64(i)
+                    first = agree & others[family[own[row]]] == 0
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[x[first]]), pa.array(nodes[y[first]])], names=["a", "b"])
+
+    pairs = few_of.mapInArrow(tie, "a long, b long")
 
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -171,8 +202,10 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
         x, y = _forest(pdf["fp"].to_numpy("int64").view(np.uint64), distance)
         return pd.DataFrame({"a": nodes[x], "b": nodes[y]})
 
+    # Dealt out anew, as the pairs of a large file's chunks would stay in that file's task.
+    chunks = many.repartition(*key, "i", "j").groupBy(*key, "i", "j").applyInPandas(verify, "a long, b long")
     ties = known.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    return ties.union(pairs).union(many.groupBy(*key, "i", "j").applyInPandas(verify, "a long, b long"))
+    return ties.union(pairs).union(chunks)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, blocks: int | None = None) -> DataFrame:

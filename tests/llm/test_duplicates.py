@@ -181,3 +181,30 @@ def test_files_have_one_name(spark):
         assert len(named) == len({n[0] for n in named}) == len({n[1:] for n in named})
     prints = spark.createDataFrame([(5, 9, 0), (3, 9, 0), (8, 9, 0), (8, 77, 1), (1, 77, 1), (2, -5, 1)], "node long, fp long, view int")
     assert {tuple(sorted((r.a, r.b))) for r in simhash.near_links(prints).collect()} == {(3, 5), (3, 8), (1, 8)}
+
+
+def test_small_files_give_forests(spark):
+    """Thirty-two fingerprints that are all near each other, and differ in one block, have 31 links in a view, not 496."""
+    alike = [(1 << i) | (1 << j) for i in range(9) for j in range(i)][:32]
+    prints = [(100 * view + n, (v << shift) + (view << 60), view) for view, shift in enumerate((0, 1, 11)) for n, v in enumerate(alike)]
+    links = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame(prints, "node long, fp long, view int")).collect()}
+    assert len(links) <= 3 * 31 and {n for n, *_ in prints} == {n for link in links for n in link}
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert found == {n: 100 * view for n, _, view in prints}
+
+
+@pytest.mark.parametrize("size", [2, 3, 9, 32])
+def test_forests_of_many_files(size):
+    rng = np.random.default_rng(size)
+    values = rng.integers(0, 1 << 9, (300, size)).astype(np.uint64)
+    row, x, y = simhash._forests(values, 2)
+    for i, own in enumerate(values.tolist()):
+        links = [(int(a), int(b)) for r, a, b in zip(row, x, y, strict=True) if r == i]
+        assert all((own[a] ^ own[b]).bit_count() <= 2 and a < b for a, b in links)
+        want = smallest_reachable(own, list(range(size)), lambda a, b: (a ^ b).bit_count() <= 2)
+        assert len(links) == size - len(set(want))
+        parent = list(range(size))
+        for _ in range(size):
+            for a, b in links:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        assert parent == want
