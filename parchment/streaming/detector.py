@@ -12,6 +12,7 @@ take waiting frames in order and end sessions that have gone silent.
 
 from __future__ import annotations
 
+from array import array
 from collections import namedtuple
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -186,8 +187,13 @@ def detect_frames(frames: DataFrame) -> DataFrame:
 END_MS = 1_800_000
 _POINTS = "array<array<double>>"
 KEPT = f"cached {_POINTS}, last_valid {_POINTS}, smooth {_POINTS}, seen_ms double, detected_ms double, scored_ms double, pending string, stable string, streak int, published string, peak double, ring_focus array<double>, ring_seq array<long>, active_ms double, last_ms double, asleep boolean"
-WAITING = f"seq long, frame_ms double, outcome string, quad {_POINTS}, w double, h double, focus double, luma double, dark double"
+#: Up to AT_ONCE frames in a row: their numbers and those of NUMBERS side by side, as machine numbers.
+WAITING, AT_ONCE = "seqs binary, outcomes array<string>, numbers binary", 1024
+#: What a frame has in doubles; not a number stands for null, and a quad without four points has none.
+NUMBERS = ["frame_ms", "w", "h", "focus", "luma", "dark", *[f"quad[{i}].{c}" for i in range(4) for c in "xy"]]
 STREAM_OUT = OUT + ", late boolean"
+#: As the processor gives it: corners are eight numbers.
+_FLAT_OUT = STREAM_OUT.replace("corners array<struct<x:double,y:double>>", "corners array<double>")
 _NOTHING = (None,) * (len(OUT_COLUMNS) - 3)
 _TOLD = Row(*OUT_COLUMNS, "late")
 
@@ -217,8 +223,7 @@ class Detection(StatefulProcessor):
         #: When the next waiting frame is due and when the session ends, in ms; -1 for none.
         self.timers = handle.getValueState("timers", "due long, end long")
 
-    def _set(self, due: int, end: int) -> None:
-        old = self.timers.get() if self.timers.exists() else (-1, -1)
+    def _set(self, due: int, end: int, old: tuple[int, int]) -> None:
         for was, now, other in ((old[0], due, end), (old[1], end, due)):
             if was not in (now, other, -1):
                 self.handle.deleteTimer(was)
@@ -228,47 +233,66 @@ class Detection(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
         mark = timerValues.getCurrentWatermarkInMs()
-        fresh, due = [], None
+        seqs, outcomes, numbers, due = array("q"), [], array("d"), None
         for f in rows:
-            if f.frame_ms <= mark:
-                yield _TOLD(*key, f.seq, f.frame_ms, *_NOTHING, True)
+            frame_ms = f.numbers[0]
+            if frame_ms <= mark:
+                yield _TOLD(*key, f.seq, frame_ms, *_NOTHING, True)
                 continue
-            fresh.append((f.seq, f.frame_ms, f.outcome, None if f.quad is None else [[p["x"], p["y"]] for p in f.quad], f.w, f.h, f.focus, f.luma, f.dark))
-            due = f.frame_ms if due is None else min(due, f.frame_ms)
-        if fresh:
-            self.waiting.appendList(fresh)
-            was, end = self.timers.get() if self.timers.exists() else (-1, -1)
+            seqs.append(f.seq)
+            outcomes.append(f.outcome)
+            numbers.extend(f.numbers)
+            due = frame_ms if due is None or frame_ms < due else due
+            if len(seqs) == AT_ONCE:
+                self.waiting.appendValue((seqs.tobytes(), outcomes, numbers.tobytes()))
+                seqs, outcomes, numbers = array("q"), [], array("d")
+        if seqs:
+            self.waiting.appendValue((seqs.tobytes(), outcomes, numbers.tobytes()))
+        if due is not None:
+            was, end = self.timers.get() or (-1, -1)
             # Whole milliseconds, after the watermark of now.
             due = max(int(mark) + 1, int(due) + 1)
-            self._set(due if was < 0 else min(was, due), end)
+            if was < 0 or due < was:
+                self._set(due, end, (was, end))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         mark = timerValues.getCurrentWatermarkInMs()
-        due, end = self.timers.get() if self.timers.exists() else (-1, -1)
+        due, end = self.timers.get() or (-1, -1)
         gone = expiredTimerInfo.getExpiryTimeInMs()
         if gone not in (due, end):
             return
-        frames = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((f for f in frames if f[1] <= mark), key=lambda f: (f[1], f[0]))
-        rest = [f for f in frames if f[1] > mark]
-        if not frames and gone == end:
+        frames = [f for packed in self.waiting.get() for f in _frames(*packed)]
+        ready = sorted((f for f in frames if f[1][0] <= mark), key=lambda f: (f[1][0], f[0]))
+        rest = [f for f in frames if f[1][0] > mark]
+        scanner = _scanner(self.scanner.get())
+        if not frames and gone == end and int(scanner.last_ms or 0) + END_MS < mark:
             for state in (self.scanner, self.waiting, self.timers):
                 state.clear()
             return
-        scanner = _scanner(self.scanner.get() if self.scanner.exists() else None)
-        for seq, frame_ms, outcome, quad, w, h, focus, luma, dark in ready:
-            missing = [nan if v is None else v for v in (w, h, focus, luma, dark)]
-            f = _Frame(seq, frame_ms, outcome, None if quad is None else [{"x": x, "y": y} for x, y in quad], *missing)
-            corners, *told = scanner.step(f)
+        for seq, numbers, outcome in ready:
+            frame_ms, w, h, focus, luma, dark, *points = numbers
+            quad = None if points[0] != points[0] else [{"x": x, "y": y} for x, y in zip(points[::2], points[1::2], strict=True)]
+            corners, *told = scanner.step(_Frame(seq, frame_ms, outcome, quad, w, h, focus, luma, dark))
             told = [None if v != v else v for v in told]  # as a batch gives no number
-            yield _TOLD(*key, seq, frame_ms, corners, *told, False)
+            yield _TOLD(*key, seq, frame_ms, None if corners is None else [v for p in corners for v in (p["x"], p["y"])], *told, False)
         if ready:
             self.scanner.update(_kept(scanner))
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        # The timer that has fired is no more.
-        self.timers.update((-1 if gone == due else due, -1 if gone == end else end))
-        next_end = end if scanner.last_ms is None else int(scanner.last_ms) + END_MS + 1
-        self._set(max(int(mark) + 1, int(min(f[1] for f in rest)) + 1) if rest else -1, max(int(mark) + 1, next_end))
+            if rest:
+                self.waiting.put([(array("q", [f[0] for f in own]).tobytes(), [f[2] for f in own], array("d", [v for f in own for v in f[1]]).tobytes()) for own in (rest[i : i + AT_ONCE] for i in range(0, len(rest), AT_ONCE))])
+            else:
+                self.waiting.clear()
+        # The timer that has fired is no more. That of the end stays where it is while frames come, and is set anew when it fires too early.
+        due, end = -1 if gone == due else due, -1 if gone == end else end
+        next_end = end if end >= 0 else max(int(mark) + 1, int(scanner.last_ms or 0) + END_MS + 1)
+        self._set(max(int(mark) + 1, int(min(f[1][0] for f in rest)) + 1) if rest else -1, next_end, (due, end))
+
+
+def _frames(seqs: bytes, outcomes: list[str | None], numbers: bytes) -> Iterator[tuple]:
+    """seq, numbers and outcome of the frames in a row of WAITING."""
+    each = len(NUMBERS)
+    of = array("d", numbers)
+    for i, (seq, outcome) in enumerate(zip(array("q", seqs), outcomes, strict=True)):
+        yield seq, of[each * i : each * (i + 1)], outcome
 
 
 _Frame = namedtuple("_Frame", ["seq", "frame_ms", "outcome", "quad", "w", "h", "focus", "luma", "dark"])
@@ -281,9 +305,14 @@ def detect_stream(frames: DataFrame, delay: str = "2 seconds") -> DataFrame:
     later than that have rows of their own with late true and no more than session, seq and frame_ms; the scanner doesn't see
     them. The state of a session goes END_MS after its last frame. State is kept in RocksDB (see rocksdb_state).
     """
+    whole = F.size("quad") == 4
+    numbers = F.transform(F.array(*[F.when(whole, F.expr(c)) if c.startswith("quad") else F.col(c) for c in NUMBERS]), lambda v: F.coalesce(v, F.lit(nan)))
     timed = frames.select(*FRAME_COLUMNS, F.timestamp_millis(F.col("frame_ms").cast("long")).alias("at")).where("session is not null and seq is not null and frame_ms is not null").withWatermark("at", delay)
     # Without the time itself Spark doesn't drop late rows, and the processor can tell of them.
-    return timed.select(*FRAME_COLUMNS).groupBy("session").transformWithState(Detection(), STREAM_OUT, "Append", "EventTime")
+    # Each value costs a call in Python, so a frame has few: its numbers are one.
+    told = timed.select("session", "seq", "outcome", numbers.alias("numbers")).groupBy("session").transformWithState(Detection(), _FLAT_OUT, "Append", "EventTime")
+    corners = F.when(F.col("corners").isNotNull(), g.quad(*[(F.get("corners", F.lit(2 * i)), F.get("corners", F.lit(2 * i + 1))) for i in range(4)]))
+    return told.withColumn("corners", corners)
 
 
 @contextmanager

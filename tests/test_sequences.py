@@ -102,6 +102,73 @@ def test_stream_equals_batch(spark, tmp_path):
     assert max(state) > 6 and state[-1] <= 4  # but for the session that moves the clock
 
 
+class Stored:
+    """A state of one key in memory, which counts the values that it is sent."""
+
+    def __init__(self):
+        self.rows, self.sent = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(list(self.rows)) if self.many else self.rows[0] if self.rows else None
+
+    def put(self, rows):
+        self.rows, self.sent = list(rows), self.sent + len(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows, self.sent = [*self.rows, *rows], self.sent + len(rows)
+
+    def update(self, row):
+        self.put([row])
+
+    def appendValue(self, row):  # noqa: N802
+        self.appendList([row])
+
+    def clear(self):
+        self.rows = []
+
+
+def test_few_values_go_to_the_state():
+    """Frames wait side by side in rows of the state, and what its timers are is only told when they change."""
+    states, timers = {}, set()
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            states[name] = Stored()
+            states[name].many = name == "waiting"
+            return states[name]
+
+        getListState = getValueState  # noqa: N815
+        registerTimer, deleteTimer = timers.add, timers.discard  # noqa: N815
+
+    class Told:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    processor = d.Detection()
+    processor.init(Handle())
+    flat = [v for p in PAGE for v in (p["x"], p["y"])]
+    given = lambda i: d.namedtuple("F", "seq outcome numbers frame_ms quad w h focus luma dark")(i, "hit", [1000.0 + 60 * i, 640.0, 480.0, 900.0, 150.0, 0.1, *flat], 1000.0 + 60 * i, PAGE, 640.0, 480.0, 900.0, 150.0, 0.1)
+    for start in (2000, 0, 1000):
+        assert not list(processor.handleInputRows((1,), [given(i) for i in range(start, start + 1000)], Told(0)))
+    assert states["waiting"].sent == 3 and states["timers"].sent == 2 and timers == {1001}
+    mark = 1000 + 60 * 1499
+    first = list(processor.handleExpiredTimer((1,), Told(mark), Told(1001)))
+    assert [r.seq for r in first] == list(range(1500)) and states["waiting"].sent == 5
+    end = 1000 + 60 * 1499 + d.END_MS + 1
+    timers.discard(1001)
+    assert timers == {mark + 61, end}
+    second = list(processor.handleExpiredTimer((1,), Told(10**6), Told(mark + 61)))
+    timers.discard(mark + 61)
+    assert [r.seq for r in second] == list(range(1500, 3000)) and timers == {end}
+    timers.discard(end)
+    assert not list(processor.handleExpiredTimer((1,), Told(end), Told(end))) and timers == {1000 + 60 * 2999 + d.END_MS + 1}
+    last = timers.pop()
+    assert not list(processor.handleExpiredTimer((1,), Told(last), Told(last))) and not timers and not any(s.rows for s in states.values())
+
+
 def test_replay_of_nothing(spark):
     assert replay(spark.createDataFrame([(1, 1, None, *[None] * 7)], d.FRAME)).count() == 0
 
