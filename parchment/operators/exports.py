@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from ..sources.shared import checkpointed
 from .page_images import IMAGE, as_array, resized
 
 PDF_LONG_SIDE, LEAST_FONT, FONT_SHARE = 1600, 4.0, 0.8
+#: Pages that are drawn before they are passed on.
+AT_ONCE = 16
 # The size of a page of unknown size, the share of a word's height that its letters take, and the text for a page without words.
 DEFAULT_PAGE = (1200, 1697)
 HTML_FONT_SHARE = 0.70
@@ -143,6 +145,24 @@ def _drawn(page: dict, packed: bool) -> tuple[bytes, bytes]:
     return image, _stream("", f"q {w} 0 0 {h} 0 0 cm /I Do Q\n".encode() + _text_layer(page["placed"]), packed)
 
 
+def _drawn_by_few(batch: pa.RecordBatch, packed: bool) -> Iterator[pa.RecordBatch]:
+    """session, page, image, text, w, h, error of pages as pdf_pages gives them, AT_ONCE of them at a time: as objects, words take many times their room in a batch."""
+    types = [batch.schema.field("session").type, batch.schema.field("page").type, pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.string()]
+    names = [f.name for f in batch.schema.field("placed").type.value_type]
+    for at in range(0, batch.num_rows, AT_ONCE):
+        few, rows = batch.slice(at, AT_ONCE), []
+        ends = few.column("placed").offsets.to_pylist()
+        words = [dict(zip(names, w, strict=True)) for w in zip(*(c.to_pylist() for c in few.column("placed").flatten().flatten()), strict=True)]
+        for row, start, end in zip(few.drop_columns("placed").to_pylist(), ends, ends[1:], strict=False):
+            row["placed"] = words[start - ends[0] : end - ends[0]]
+            try:
+                image, text = _drawn(row, packed)
+                rows.append((row["session"], row["page"], image, text, row["size"]["width"], row["size"]["height"], None))
+            except (ValueError, TypeError, KeyError, IndexError) as e:
+                rows.append((row["session"], row["page"], None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["session", "page", "image", "text", "w", "h", "error"])
+
+
 def pdf_parts(pages: DataFrame, packed: bool = True) -> DataFrame:
     """session, no, start, content, page, error: documents as rows, which in the order of no make up each session's file, byte by byte from start on.
 
@@ -154,20 +174,13 @@ def pdf_parts(pages: DataFrame, packed: bool = True) -> DataFrame:
     """
     kind = pages.schema["session"].dataType.simpleString()
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                try:
-                    image, text = _drawn(row, packed)
-                    rows.append((row["session"], row["page"], image, text, row["size"]["width"], row["size"]["height"], None))
-                except (ValueError, TypeError, KeyError, IndexError) as e:
-                    rows.append((row["session"], row["page"], None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=["session", "page", "image", "text", "w", "h", "error"]).astype({"w": "Int32", "h": "Int32"})
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _drawn_by_few(batch, packed)
 
     ready = pdf_pages(pages.where("session is not null"))
     schema = f"session {kind}, page {pages.schema['page'].dataType.simpleString()}, image binary, text binary, w int, h int, error string"
-    done = checkpointed(ready.mapInPandas(draw, schema).withColumn("key", F.monotonically_increasing_id()))
+    done = checkpointed(ready.mapInArrow(draw, schema).withColumn("key", F.monotonically_increasing_id()))
     good = done.where("error is null")
 
     # What the places follow from: rows without the bytes.
@@ -215,22 +228,24 @@ def pdf_parts(pages: DataFrame, packed: bool = True) -> DataFrame:
 def pdf_documents(pages: DataFrame) -> DataFrame:
     """session, pdf and failed (pages left out): the parts of each document put together, one document in memory at a time; pdf is null if all its pages fail. For files of any size take pdf_parts."""
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own, failed = None, [], []
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, failed, types = None, [], [], None
 
-        def whole() -> pd.DataFrame:
-            return pd.DataFrame({"session": [key], "pdf": [b"".join(own) if own else None], "failed": [failed]})
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], types), pa.array([b"".join(own) if own else None], pa.binary()), pa.array([failed], pa.list_(pa.int32()))], names=["session", "pdf", "failed"])
 
-        for pdf in batches:
-            for session, no, content, page in pdf.itertuples(index=False):
+        for batch in batches:
+            types = batch.schema.field("session").type
+            for session, content, page in zip(*(batch.column(c) for c in ("session", "content", "page")), strict=True):
+                session, content = session.as_py(), content.as_py()
                 if (own or failed) and session != key:
                     yield whole()
                     own, failed = [], []
                 key = session
-                own.append(content) if content is not None else failed.append(int(page))
+                own.append(content) if content is not None else failed.append(page.as_py())
         if own or failed:
             yield whole()
 
     kind = pages.schema["session"].dataType.simpleString()
     parts = pdf_parts(pages).select("session", "no", "content", "page")
-    return parts.repartition("session").sortWithinPartitions("session", "no", "page").mapInPandas(join, f"session {kind}, pdf binary, failed array<int>")
+    return parts.repartition("session").sortWithinPartitions("session", "no", "page").mapInArrow(join, f"session {kind}, pdf binary, failed array<int>")

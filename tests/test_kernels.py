@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +296,19 @@ def test_pdf_in_parts(spark, packed):
         assert exports.pdf_parts(pages.limit(0)).count() == 0 and exports.pdf_documents(pages.limit(0)).count() == 0
 
 
+def test_pages_are_drawn_by_few(monkeypatch):
+    """Of a batch of many pages only a few are objects at a time, whatever the batch's size, and each has its own words."""
+    drawn = []
+    monkeypatch.setattr(exports, "_drawn", lambda row, packed: drawn.append(row) or (b"", b""))
+    page = lambda i: {"session": 1, "page": i, "image": None, "size": {"width": 3, "height": 4}, "placed": [{"text": f"{i} {k}", "x": 1.0, "y": None, "size": 4.0} for k in range(i % 5)]}
+    batch = pa.RecordBatch.from_pylist([page(i) for i in range(1001)])[1:]
+    told = exports._drawn_by_few(batch, True)
+    first = next(told)
+    assert len(drawn) == first.num_rows == exports.AT_ONCE
+    assert [r["page"] for r in first.to_pylist()] + [r["page"] for b in told for r in b.to_pylist()] == list(range(1, 1001))
+    assert drawn == [page(i) for i in range(1, 1001)]
+
+
 def test_images_are_measured_within_their_corners(spark):
     a = np.random.default_rng(8).integers(0, 256, (40, 60, 3)).astype(np.uint8)
     a[:, 30:] = 20
