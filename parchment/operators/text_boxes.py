@@ -153,8 +153,9 @@ def boxes_on_page(rects: DataFrame, map_w: str = "map_w", map_h: str = "map_h",
 
 
 def in_reading_order(boxes: DataFrame, id_col: str = "image_id", tie: str = "contour") -> DataFrame:
-    """Adds line_no: from the top by mean y alone, ties by ``tie``. A page's boxes are one window."""
+    """Adds line_no: from the top by mean y alone, to nine decimals, ties by ``tie``. A page's boxes are one window."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(id_col).orderBy(g.mean_y(F.col("box")), tie)
+    # Unrounded, boxes on one height would stand as the errors of their sums have it.
+    order = Window.partitionBy(id_col).orderBy(F.round(g.mean_y(F.col("box")), 9), tie)
     return boxes.withColumn("line_no", F.row_number().over(order) - 1)

@@ -2,12 +2,14 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from parchment.operators import regions, text_boxes
+from parchment.plans import registry
 
 
 def spiral(n):
@@ -154,3 +156,14 @@ def test_images_cut_by_batches_keep_their_names(spark, table):
         assert pick(regions.labelled(table.orderBy(F.rand(3)), p > 0.3, p)) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_lines_on_one_height_stand_by_contour(spark, tmp_path):
+    """Their mean y may differ in the last bits; the SQL compares nine decimals."""
+    drawn = "........ ...##... .....#.. #....... #....#.# ##.#..#. #....... ...#....".replace(" ", "")
+    spark.createDataFrame([(7, [0.3 if c == "#" else -0.15 for c in drawn], 0)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["text_lines_found"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["text_lines_found"]).fetchall()
+    assert len(want) > 2 and sorted(map(tuple, got.collect())) == sorted(want)
