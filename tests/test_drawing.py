@@ -172,3 +172,21 @@ def test_new_pixels_do_not_move(spark, table, sizes):
         assert r["_c0"] == r["_r"] and [v - 300 for v in r["_g"]] == r["_c1"] and [v * 100 for v in r["_b"]] == r["_c2"]
     twice = gather.resized_pixels(big.where("image_id = 3").unionByName(big.where("image_id = 3")), table)
     assert twice.count() == 2 * 200 * 150
+
+
+def test_no_row_is_made_of_a_place(spark, table, sizes):
+    """Places are numbers in batches, of images dealt out to all tasks; no pixel is exploded to find its tile or its place."""
+    quad = F.array(*[g.point(F.lit(x), F.lit(y)) for x, y in ((1.0, 2.0), (60.0, 5.0), (50.0, 40.0), (3.0, 30.0))])
+    for df in (gather.line_pixels(sizes.withColumns({"line_no": F.lit(0), "box": quad}), table, ["r"]), gather.rectified_pixels(sizes.withColumns({"corners": quad, "page_size": g.page_size(quad)}), table)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
+        assert "RepartitionByExpression" in plan[plan.index("Join LeftOuter") :].split("MapInArrow")[1]
+
+
+def test_sizes_beyond_the_pixels(spark, images, table, sizes):
+    """Where an image has fewer pixels than it is said to have, the rest is null and not of another row."""
+    own = sizes.where("image_id = 1").withColumns({"src_w": F.lit(80), "src_h": F.lit(50), "size": F.struct(F.lit(80).alias("width"), F.lit(50).alias("height"))})
+    got = gather.resized_pixels(own, table, ["r"]).toPandas()
+    there = (got["y"] < 44) & (got["x"] < 70)
+    assert len(got) == 80 * 50 and got[~there]["r"].isna().all()
+    assert (got[there].sort_values(["y", "x"])["r"].to_numpy().reshape(44, 70) == images[1][:44, :70, 0]).all()
