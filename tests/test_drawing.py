@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import geometry as g
 from parchment.operators import gather, page_images
+from parchment.plans import registry
 
 QUAD = "array<struct<x:double,y:double>>"
 SIZE = "struct<width:int,height:int>"
@@ -190,3 +191,11 @@ def test_sizes_beyond_the_pixels(spark, images, table, sizes):
     there = (got["y"] < 44) & (got["x"] < 70)
     assert len(got) == 80 * 50 and got[~there]["r"].isna().all()
     assert (got[there].sort_values(["y", "x"])["r"].to_numpy().reshape(44, 70) == images[1][:44, :70, 0]).all()
+
+
+@pytest.mark.parametrize("name", ["enhanced_documents", "resized_pages", "line_crops"])
+def test_pixels_do_not_pass_the_driver(spark, name):
+    """However small the file that they are made of: no table of pixels or tiles is gathered to be sent to all."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line and ("_ty" in line or "y#" in line)]
